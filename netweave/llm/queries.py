@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netweave.llm import exact_dedup, html_extract, language_id, merge_dropout, packing, quality_rules, secret_scan, simhash_dedup, toxicity
+from netweave.llm import exact_dedup, html_extract, language_id, merge_dropout, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op1_pack": packing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_dedup": simhash_dedup.op3,
     "op4_secret_scan": secret_scan.op4,
     "op5_quality_rules": quality_rules.op5,
+    "op6_substring_dedup": substring_dedup.op6,
     "op7_toxicity": toxicity.op7,
     "op8_exact_dedup": exact_dedup.op8,
     "op9_html_extract": html_extract.op9,
