@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that separate words everywhere here.
@@ -56,3 +56,21 @@ def inline_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFram
 
     body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
+
+
+def bounded_sample(keys: DataFrame, key: str, group: str, most: int, max_groups: int = 200) -> DataFrame:
+    """At most ``most`` keys of each of the ``max_groups`` largest groups, the first by a hash of the key.
+
+    Counts give each group a bound on the hash that leaves about one and a
+    half times ``most`` keys, so what is then ranked in one task for each group
+    is of that size, however many keys there are.
+    """
+    counts = keys.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(max_groups).collect()
+    span = 1 << 40
+    bound = F.lit(-1).cast("long")
+    for r in counts:
+        share = 1.0 if r["count"] <= 2 * most else 1.5 * most / r["count"]
+        bound = F.when(F.col(group) == F.lit(r[group]), F.lit(int(share * span)).cast("long")).otherwise(bound)
+    rows = keys.withColumn("__hash", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(span)))
+    first = Window.partitionBy(group).orderBy("__hash", key)
+    return rows.where(F.col("__hash") < bound).withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= most).select(key, group)

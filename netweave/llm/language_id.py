@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import table
+from netweave.llm.common import bounded_sample, table
 
 SPACE = 1 << 14
 LENGTHS = (1, 2, 3, 4)
@@ -103,8 +103,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     """Learn from at most ``per_lang`` texts of each of at most ``MAX_LANGS`` languages."""
     known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % folds != fold))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = known.select("id", "lang").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_lang).select("id", "lang").orderBy("nth", "lang").limit(per_lang * MAX_LANGS)
+    ids = bounded_sample(known.select("id", "lang"), "id", "lang", per_lang, MAX_LANGS)
     # At most per_lang * MAX_LANGS ids: small by construction.
     rows = known.join(F.broadcast(ids), ["id", "lang"]).where("text IS NOT NULL").limit(2 * per_lang * MAX_LANGS).collect()
     rows = sorted((zlib.crc32(str(r["id"]).encode()), str(r["id"]), r["lang"], r["text"]) for r in rows if has_letter(r["text"]))
