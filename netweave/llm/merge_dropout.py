@@ -2,7 +2,7 @@
 
 Merge-type encoding keeps an agenda of candidate merges, best piece first and
 leftmost among equals. Each candidate taken from the agenda is skipped if a
-keyed hash of (seed, stream, word, place, piece) falls below the dropout rate;
+keyed hash of (seed, stream, unit, place, piece) falls below the dropout rate;
 so segmentations vary, yet the same seed gives the same ids on every machine
 and on every retry. A document's stream is a hash of its id into ``STREAMS``
 streams: a word is segmented once for each stream and then looked up, which
@@ -10,7 +10,8 @@ bounds the work, and different streams and seeds segment words differently.
 
 A text is cut before each run of spaces that a word follows; as no piece has
 a space mark after another character, merges never reach across such cuts and
-words can be encoded one by one. With a rate of 0 the ids are those of the
+words can be encoded one by one; they are cut again, into units, where no
+piece holds both neighbours. With a rate of 0 the ids are those of the
 library's own encoder.
 
 Characters without a piece become byte pieces, so decoding gives back every
@@ -29,6 +30,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +41,13 @@ MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20
 STREAMS = 8
-MEMORY = 200_000
+#: Words that a worker remembers: without dropout, and for each stream.
+MEMORY = 250_000
+STREAM_MEMORY = 120_000
+_MASK = (1 << 64) - 1
+_SMALL = 256
+_SHORT = 48
+_NEVER = float("inf")
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -58,71 +66,139 @@ class MergeCoder:
         self.ids = {n: i for i, n in enumerate(names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
         if any(SPACE in n.lstrip(SPACE) for n in self.ids):
             raise ValueError("a piece reaches across words")
+        #: Characters that stand side by side in some piece.
+        self.near = {n[i : i + 2] for n in self.ids for i in range(len(n) - 1)}
         self.rank = {n: -model.get_score(i) for n, i in self.ids.items()}
         self.raw = [n.replace(SPACE, " ").encode() for n in names]
         for value, i in self.bytes.items():
             self.raw[i] = bytes([value])
         self.unknown = model.unk_id()
         self.streams: dict[int, _Stream] = {}
-
-    def segment(self, word: str, stream: int = 0) -> list[str]:
-        """The word's symbols after all merges that are not dropped."""
-        rank, level = self.rank, self.level
+        self.plain: dict[str, tuple[bytes, list]] = {}
+
+    def key(self, word: str, stream: int) -> int:
+        """What the drop decisions of a word in a stream hang on, besides place and piece."""
+        from xxhash import xxh64_intdigest
+
+        return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + stream)
+
+    def dropped(self, key: int, place: int, piece: int) -> bool:
+        """Whether the candidate merge into ``piece`` at ``place`` is skipped: a keyed 64-bit mix below the level."""
+        x = (key ^ (place << 32 | piece)) * 0x9E3779B97F4A7C15 & _MASK
+        return (x ^ x >> 32) * 0xBF58476D1CE4E5B9 & _MASK < self.level
+
+    def segment(self, word: str, key: int | None = None, taken: list | None = None) -> list[str]:
+        """The word's symbols after all merges that are not dropped; ``taken`` gets the candidates in the order of the agenda.
+
+        Without a key no merge is dropped. Short words keep their agenda as a
+        plain list of ranks, long ones as a heap; the order is the same.
+        """
+        if len(word) > _SHORT:
+            return self._segment_long(word, key, taken)
+        get, ids = self.rank.get, self.ids
+        part, place = list(word), list(range(len(word)))
+        ranks = [get(x + y, _NEVER) for x, y in zip(part, part[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
+                break
+            i = ranks.index(best)
+            joined = part[i] + part[i + 1]
+            if taken is not None:
+                taken.append((place[i], ids[joined]))
+            if key is not None and self.dropped(key, place[i], ids[joined]):
+                ranks[i] = _NEVER
+                continue
+            part[i] = joined
+            del part[i + 1], place[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(joined + part[i + 1], _NEVER)
+            if i:
+                ranks[i - 1] = get(part[i - 1] + joined, _NEVER)
+        return part
+
+    def _segment_long(self, word: str, key: int | None, taken: list | None) -> list[str]:
+        rank, ids = self.rank, self.ids
         part = list(word)
-        if len(part) < 2:
-            return part
-        nxt, prv = [*range(1, len(part)), -1], [-1, *range(len(part) - 1)]
-        if level:
-            from xxhash import xxh64_intdigest
-
-            key = f"{self.seed}\x00{stream}\x00{word}\x00"
-        agenda: list[tuple[float, int, str]] = []
-
-        def consider(a: int) -> None:
-            if a >= 0 and nxt[a] >= 0:
-                joined = part[a] + part[nxt[a]]
-                if joined in rank:
-                    heapq.heappush(agenda, (rank[joined], a, joined))
-
-        for a in range(len(part) - 1):
-            consider(a)
+        n = len(part)
+        nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
+        agenda = [(rank[x], a, x) for a, x in enumerate(map("".join, zip(part, part[1:]))) if x in rank]
+        heapq.heapify(agenda)
         while agenda:
             _, a, joined = heapq.heappop(agenda)
             b = nxt[a]
             if not part[a] or b < 0 or part[a] + part[b] != joined:
                 continue
-            if level and xxh64_intdigest(f"{key}{a}\x00{joined}", self.seed) < level:
+            if taken is not None:
+                taken.append((a, ids[joined]))
+            if key is not None and self.dropped(key, a, ids[joined]):
                 continue
             part[a], part[b] = joined, ""
-            nxt[a] = nxt[b]
-            if nxt[b] >= 0:
-                prv[nxt[b]] = a
+            c = nxt[a] = nxt[b]
             nxt[b] = -1
-            consider(prv[a])
-            consider(a)
+            if c >= 0:
+                prv[c] = a
+                if joined + part[c] in rank:
+                    heapq.heappush(agenda, (rank[joined + part[c]], a, joined + part[c]))
+            c = prv[a]
+            if c >= 0 and part[c] + joined in rank:
+                heapq.heappush(agenda, (rank[part[c] + joined], c, part[c] + joined))
         return [p for p in part if p]
 
-    def word_ids(self, word: str, stream: int = 0) -> list[int]:
+    def units(self, word: str) -> list[str]:
+        """The word cut wherever no piece holds both neighbours side by side: no merge can reach across."""
+        near, at, out = self.near, 0, []
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in near:
+                out.append(word[at:i])
+                at = i
+        out.append(word[at:])
+        return out
+
+    def _packed(self, pieces: list[str]) -> bytes:
         out: list[int] = []
-        for piece in self.segment(word, stream):
+        for piece in pieces:
             found = self.ids.get(piece)
             if found is not None:
                 out.append(found)
             else:
-                for value in piece.encode("utf-8", "surrogatepass"):
-                    out.append(self.bytes.get(value, self.unknown))
-        return out
+                out += [self.bytes.get(value, self.unknown) for value in piece.encode("utf-8", "surrogatepass")]
+        return array.array("I", out).tobytes()
+
+    def word_ids(self, word: str, stream: int = 0) -> bytes:
+        """Ids of a word in a stream: those of its units, one after the other."""
+        return b"".join([self._unit_ids(u, stream) for u in self.units(word)])
+
+    def _unit_ids(self, unit: str, stream: int) -> bytes:
+        """The ids without dropout and the candidates that lead to them are kept; a stream that drops none of those has the same ids."""
+        plain = self.plain.get(unit)
+        if plain is None:
+            taken: list = []
+            plain = (self._packed(self.segment(unit, taken=taken)), taken)
+            if len(self.plain) >= MEMORY:
+                self.plain.clear()
+            if len(unit) < 64:
+                self.plain[unit] = plain
+        if not self.level or not plain[1]:
+            return plain[0]
+        key, dropped = self.key(unit, stream), self.dropped
+        for place, piece in plain[1]:
+            if dropped(key, place, piece):
+                return self._packed(self.segment(unit, key))
+        return plain[0]
 
     def encode(self, text: str, stream: int = 0) -> bytes:
         """Ids as 32-bit numbers of this machine's byte order."""
         if not text:
             return b""
         marked = SPACE + text.replace(" ", SPACE)
-        words = self.streams.setdefault(stream, _Stream(self, stream))
+        words = self.streams.get(stream)
+        if words is None:
+            words = self.streams[stream] = _Stream(self, stream)
         parts = marked.split(SPACE)[1:]
         if "" in parts:
-            return b"".join(map(words.__getitem__, _WORDS.findall(marked)))
-        return b"".join(map(words.after_space.__getitem__, parts))
+            return b"".join([words[x[1:]] if x[0] == SPACE and x[1:2] != SPACE and len(x) > 1 else self.word_ids(x, stream) for x in _WORDS.findall(marked)])
+        return b"".join(map(words.__getitem__, parts))
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
@@ -130,32 +206,16 @@ class MergeCoder:
 
 
 class _Stream(dict):
-    """Ids of each word in one stream, computed once."""
+    """Ids of the word after one space mark in one stream, computed once."""
 
     def __init__(self, coder: MergeCoder, stream: int):
         super().__init__()
         self.coder, self.stream = coder, stream
-        self.after_space = _AfterSpace(self)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY // STREAMS:
-            self.clear()
-            self.after_space.clear()
-        out = array.array("I", self.coder.word_ids(word, self.stream)).tobytes()
-        if len(word) < 64:
-            self[word] = out
-        return out
-
-
-class _AfterSpace(dict):
-    def __init__(self, words: _Stream):
-        super().__init__()
-        self.words = words
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY // STREAMS:
+        if len(self) >= STREAM_MEMORY:
             self.clear()
-        out = array.array("I", self.words.coder.word_ids(SPACE + word, self.words.stream)).tobytes()
+        out = self.coder.word_ids(SPACE + word, self.stream)
         if len(word) < 64:
             self[word] = out
         return out
@@ -181,13 +241,15 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropou
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = coder(model, dropout, seed)
-        for batch in batches:
-            ids, same = [], []
-            for text, stream in zip(batch["text"], batch["stream"].tolist(), strict=True):
-                data = own.encode(text or "", stream)
-                ids.append(memoryview(data).cast("I").tolist())
-                same.append(own.decode(data) == (text or ""))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "stream": batch["stream"], "ids": ids, "lossless": same})
+        for whole in batches:
+            for at in range(0, len(whole), _SMALL):
+                batch = whole.iloc[at : at + _SMALL]
+                ids, same = [], []
+                for text, stream in zip(batch["text"], batch["stream"].tolist(), strict=True):
+                    data = own.encode(text or "", stream)
+                    ids.append(np.frombuffer(data, dtype=np.int32))
+                    same.append(own.decode(data) == (text or ""))
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "stream": batch["stream"].to_numpy(), "ids": ids, "lossless": same})
 
     rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(streams)).cast("int").alias("stream"), F.col(text_col).alias("text"))
     return rows.mapInPandas(each, "doc_id string, stream int, ids array<int>, lossless boolean").withColumn("doc_id", F.col("doc_id").cast(kind))
