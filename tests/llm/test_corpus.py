@@ -196,7 +196,8 @@ def test_exact_oracle(spark):
 def test_drop_copies_keeps_columns(spark, hard):
     kept = exact_dedup.drop_copies(hard)
     assert kept.columns == hard.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, 2, 4, 5, 6]) or Counter(r["doc_id"] for r in kept.collect())[4] == 1
+    # The longest originals of both groups of copies are rows without an id.
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, None, 4, 5, 6])
 
 
 # Secrets
@@ -227,7 +228,7 @@ def test_more_rules_and_masks(spark, hard):
     text = "x ghp_" + "a" * 36 + " é xoxb-1234567890-abc https://user:pass1@host/ -----BEGIN RSA PRIVATE KEY----- sk_live_" + "B" * 20
     df = spark.createDataFrame([(1, text), (2, "clean text")], "doc_id long, text string")
     kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.find(df).collect()}
-    assert kinds == {1: ["code_host", "chat", "url_login", "private_key", "payment"], 2: []}
+    assert kinds == {1: ["code_host", "hex", "chat", "url_login", "private_key", "payment"], 2: []}  # 36 letters a are a run of hex digits too
     masked = secret_scan.mask_secrets(hard)
     assert masked.columns == hard.columns and masked.count() == hard.count()
     assert {r["text"] for r in masked.where("doc_id = 6").collect()} == {"<secret> <secret> secret: x"}
