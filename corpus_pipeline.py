@@ -4,7 +4,7 @@
 returns a DataFrame with the columns of ``documents``, the last one the packed
 pieces. ``run`` writes each stage's rows as Parquet in the shared folder and
 reads them back as the next stage's input. SQL cannot express the stages that
-need the trained classifier, XXH64 fingerprints or token ids, so there is no
+need the trained classifier, XXH64 shingles or token ids, so there is no
 ``ORACLE_SQL``; tests compare the stages with brute-force versions.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweave.llm import exact_dedup, packing, secret_scan, simhash_dedup, toxicity
+from netweave.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
 from netweave.llm.common import materialize, table
 
 
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-copy group the smallest id stays."""
-    return simhash_dedup.drop_near_copies(docs)
+    """Of each group of texts linked by Jaccard 0.8 over five-word shingles the smallest id stays."""
+    return near_dedup.drop_near_copies(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,145 @@
+"""Near-dedup by word shingles: MinHash band keys, verified by exact Jaccard.
+
+Two texts are linked if the sets of their shingles of ``SHINGLE`` words have a
+Jaccard similarity of ``SIMILAR`` or more; groups are the connected components.
+
+* *Candidates*: texts with the same set are one node. A node has ``BANDS`` band
+  keys, each a hash of ``ROWS`` MinHash values; nodes that share a key are
+  candidates. A pair of similarity 0.8 shares none with a chance of
+  (1 - 0.8**5)**20 = 0.0004, more similar pairs with less.
+* *Verification*: sets are compared exactly (as 64-bit hashes of shingles).
+  Candidates are first compared with the leader of their bucket, twice with
+  different leaders; then all pairs of a bucket whose nodes are not in one
+  component yet. Pairs left out are connected already, so the components are
+  those of all candidate pairs, and a hot cluster costs its size, not its square.
+
+Defined results: white space and case do not count. A null, empty or blank
+text has the empty set, and these are one group; a text of fewer than five
+words is one shingle. Of each group one row stays: the smallest id, rows
+without an id only in groups without any.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from netweave.llm.common import materialize
+from netweave.llm.components import connected_components
+
+SHINGLE = 5
+SIMILAR = 0.8
+BANDS = 20
+ROWS = 5
+SEED = 42
+_CHUNK = 1 << 12
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles of ``text``."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    whole = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = (ends - [len(w) for w in words])[: max(1, len(words) - shingle + 1)]
+    ends = ends[min(shingle, len(words)) - 1 :]
+    return np.unique(np.array([xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64))
+
+
+def _odd(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One signed 64-bit key for each band of ``rows`` MinHash values."""
+    factors = _odd(bands * rows)[:, None]
+    least = np.full(bands * rows, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), _CHUNK):
+        least = np.minimum(least, (hashes[at : at + _CHUNK] * factors).min(axis=1))
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _prints(rows: DataFrame, shingle: int) -> DataFrame:
+    """(row, code, size, bands): ``code`` stands for the set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t, shingle) for t in batch["text"]]
+            codes = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"row": batch["row"], "code": codes, "size": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]})
+
+    return rows.mapInPandas(each, "row long, code long, size int, bands array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """The (u, v) of ``pairs`` that are similar enough."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None
+        for batch in batches:
+            stays = []
+            for u, a, b in zip(batch["u"].tolist(), batch["a"], batch["b"], strict=True):
+                if u != last:
+                    last, held = u, shingles(a, shingle)
+                stays.append(jaccard(held, shingles(b, shingle)) >= similar)
+            yield batch.loc[stays, ["u", "v"]]
+
+    full = pairs.join(texts.select(F.col("code").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("code").alias("u"), F.col("text").alias("a")), "u")
+    return materialize(full.select("u", "v", "a", "b").sortWithinPartitions("u").mapInPandas(each, "u long, v long"))
+
+
+def _groups(rows: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """(row, root) for each row of ``rows`` (row, text)."""
+    prints = materialize(_prints(rows, shingle))
+    nodes = materialize(prints.groupBy("code").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    keyed = nodes.select("code", "size", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = materialize(keyed.join(shared, "key"))
+    asked = members.select("code").distinct().join(nodes.select("code", "row"), "code")
+    texts = materialize(asked.join(rows, "row").select("code", "text"))
+    fits = F.least("size", "other") >= F.lit(similar) * F.greatest("size", "other")
+    links, roots = None, members.select(F.col("code").alias("node"), F.col("code").alias("root")).distinct()
+    for turn in range(3):
+        placed = members.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+        split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(F.xxhash64("code", F.lit(turn)), "code", "size", "root")).alias("lead")).where("x != y")
+        if turn < 2:
+            found = placed.join(split.select("key", F.col("lead.code").alias("u"), F.col("lead.size").alias("other"), F.col("lead.root").alias("top")), "key").where("root != top").withColumnRenamed("code", "v")
+        else:
+            open_ = materialize(placed.join(split.select("key"), "key"))
+            other = open_.select("key", F.col("code").alias("u"), F.col("size").alias("other"), F.col("root").alias("top"))
+            found = open_.withColumnRenamed("code", "v").join(other, "key").where("root != top AND u < v")
+        found = materialize(found.where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        more = _verified(found, texts, shingle, similar)
+        links = more if links is None else links.union(more)
+        roots = connected_components(links)
+    return prints.join(roots.withColumnRenamed("node", "code"), "code", "left").select("row", "code", F.coalesce("root", "code").alias("root"))
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: one of each near-copy group."""
+    # Written once, so that row numbers hold for all that follows.
+    rows = materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")))
+    text = F.col("all")[text_col].alias("text")
+    groups = _groups(rows.select("row", text), shingle, similar)
+    keys = rows.select("row", "id", F.xxhash64(F.col("all")[text_col]).alias("tie"))
+    order = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "code", "tie", "row")
+    gone = materialize(groups.join(keys, "row").withColumn("nth", F.row_number().over(order)).where("nth > 1").select("row"))
+    return rows.join(gone, "row", "left_anti").select(*[F.col("all")[c].alias(c) for c in df.columns])

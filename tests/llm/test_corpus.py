@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netweave.llm import exact_dedup, html_extract, language_id, merge_dropout, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, toxicity
+from netweave.llm import exact_dedup, html_extract, language_id, merge_dropout, near_dedup, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, toxicity
 from netweave.llm.components import connected_components
 from netweave.llm.hamming_index import GrayIndex, gray_rank, spanning_links
 
@@ -166,6 +166,39 @@ def test_simhash_hard_rows(spark, hard):
     assert simhash_dedup.near_groups(hard.limit(0)).count() == 0
 
 
+def brute_near(texts, similar=0.8):
+    sets = {}
+    for d, t in texts.items():
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (n := len(sets[a] & sets[b])) and n >= similar * (len(sets[a]) + len(sets[b]) - n)]
+    return pairs, _sets(sets, [a for a, _ in pairs], [b for _, b in pairs])
+
+
+def test_near_dedup_of_the_pipeline(spark, documents):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = {r["doc_id"]: r["text"] for r in documents.select("doc_id", "text").collect()}
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    for i in range(40):
+        words = list(base)
+        for k in rng.sample(range(300), rng.choice([1, 3, 4, 6, 12])):
+            words[k] = f"n{rng.randrange(10**6)}"
+        texts[10_000 + i] = " ".join(words)
+    pairs, groups = brute_near(texts)
+    bits = lambda a, b: bin(brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).count("1")
+    assert any(bits(a, b) > 2 for a, b in pairs)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()} == set(groups.values())
+
+
+def test_near_dedup_hard_rows(spark, hard):
+    kept = near_dedup.drop_near_copies(hard)
+    assert kept.columns == hard.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 6]
+    assert near_dedup.drop_near_copies(hard.limit(0)).count() == 0
+
+
 # Exact copies
 
 
