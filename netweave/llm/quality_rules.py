@@ -7,9 +7,10 @@ Two kinds of rules decide about a document:
 * *all documents of its host*: lines are normalised (white space runs to one
   space, lower case, digits to 0) and hashed to 64 bits together with the
   host; the number of distinct documents is counted for each. A line that
-  more than ``MAX_DOCS`` documents of the host contain is removed, and a
-  document that thereby loses more than ``MAX_LOSS`` of its words is depleted
-  and rejected.
+  more than ``MAX_DOCS`` documents of the host, and more than ``MAX_SHARE`` of
+  the host's documents, contain is removed, and a document that thereby loses
+  more than ``MAX_LOSS`` of its words is depleted and rejected. The limit so
+  follows the host: small hosts have the floor, large ones the share.
 
 A document sends each of its lines once, with the host in the hash, so a hot
 line or a hot host is summed up before the shuffle and is one row afterwards.
@@ -35,7 +36,9 @@ from netweave.llm.common import materialize, table
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 SYMBOLS = "#*$%&|<>"
-MAX_DOCS = 100
+#: Limit of a line: the larger of this many documents and this share of its host's documents.
+MAX_DOCS = 5
+MAX_SHARE = 0.01
 MAX_LOSS = 0.5
 WINDOW = 3
 _DROP_SYMBOLS = {ord(c): None for c in SYMBOLS}
@@ -62,17 +65,25 @@ def repeated_words(words: list[str], window: int = WINDOW) -> int:
     return int((np.cumsum(covered) > 0).sum())
 
 
-def line_hashes(text: str, host: str | None) -> tuple[list[int], list[int]]:
-    """Hash and number of words of each line with a word: one entry for each distinct normalised line, its words summed up."""
+def _prefix(host: str | None) -> str:
+    return "\x01" if host is None else f"\x00{host}\x00"
+
+
+def _hashed(text: str) -> int:
     from xxhash import xxh64_intdigest
 
-    prefix = "\x01" if host is None else f"\x00{host}\x00"
+    key = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return key - ((key >> 63) << 64)
+
+
+def line_hashes(text: str, host: str | None) -> tuple[list[int], list[int]]:
+    """Hash and number of words of each line with a word: one entry for each distinct normalised line, its words summed up."""
+    prefix = _prefix(host)
     found: dict[int, int] = {}
     for line in text.split("\n"):
         words = line.lower().split()
         if words:
-            key = xxh64_intdigest((prefix + " ".join(words).translate(_DIGITS)).encode("utf-8", "surrogatepass"))
-            key -= (key >> 63) << 64
+            key = _hashed(prefix + " ".join(words).translate(_DIGITS))
             found[key] = found.get(key, 0) + len(words)
     return list(found), list(found.values())
 
@@ -95,22 +106,24 @@ def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
             rows = []
             for doc, text, host in zip(batch["doc_id"], batch["text"], batch["host"], strict=True):
                 text = text or ""
-                rows.append((doc, *measures(text), *line_hashes(text, host)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line", "line_words"])
+                rows.append((doc, *measures(text), _hashed(_prefix(host)), *line_hashes(text, host)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "host", "line", "line_words"])
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
-    schema = "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line array<long>, line_words array<int>"
+    schema = "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host long, line array<long>, line_words array<int>"
     return rows.mapInPandas(each, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_loss: float = MAX_LOSS, min_words: int = MIN_WORDS, max_repeated: float = MAX_REPEATED) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, min_words: int = MIN_WORDS, max_repeated: float = MAX_REPEATED) -> DataFrame:
     """Measures, ``base_failed``, ``words_removed``, ``depleted`` and ``kept`` of each row."""
     described = materialize(describe(df, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
-    often = described.select(F.explode("line").alias("line")).groupBy("line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("line")
+    often = described.select("host", F.explode("line").alias("line")).groupBy("line").agg(F.count("*").alias("docs"), F.first("host").alias("host")).where(F.col("docs") > max_docs)
+    hosts = described.groupBy("host").agg(F.count("*").alias("host_docs"))
+    often = often.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * max_share).select("line")
     lines = described.select("row", F.explode(F.arrays_zip("line", "line_words")).alias("l")).select("row", F.col("l.line").alias("line"), F.col("l.line_words").alias("words"))
     lost = lines.join(materialize(often), "line").groupBy("row").agg(F.sum("words").alias("words_removed"))
-    out = described.drop("line", "line_words").join(lost, "row", "left").withColumn("words_removed", F.coalesce("words_removed", F.lit(0)).cast("long"))
+    out = described.drop("host", "line", "line_words").join(lost, "row", "left").withColumn("words_removed", F.coalesce("words_removed", F.lit(0)).cast("long"))
     base_failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * max_repeated)
     return out.withColumn("base_failed", base_failed).withColumn("depleted", F.col("words_removed") > F.col("n_words") * max_loss).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("row")
 

@@ -297,6 +297,22 @@ def test_quality(spark, documents):
         assert q["base_failed"] == base and q["kept"] == (not base and q["words_removed"] <= 0.5 * len(words))
 
 
+def test_quality_limit_follows_the_host(spark):
+    letters = "abcdefghij"
+    own = lambda i: " ".join("".join(letters[int(d)] for d in f"{i:04}") + k for k in letters * 6)  # noqa: E731  (digits are one to the rule)
+    few = [(i, "Same line of a small host\n" + own(i), "small") for i in range(6)]
+    many = [(100 + i, ("Line of six pages\n" if i < 6 else "") + ("Line of nine pages\n" if i < 9 else "") + own(i), "large") for i in range(800)]
+    got = {r["doc_id"]: r["words_removed"] for r in quality_rules.judge(spark.createDataFrame(few + many, "doc_id long, text string, source string")).collect()}
+    # Six of six documents are above the floor of five; eight of 800 are the share of a large host.
+    assert [got[i] for i in range(6)] == [6] * 6
+    assert [got[100 + i] for i in range(800)] == [4] * 9 + [0] * 791
+
+
+def test_quality_production_limit(spark):
+    rows = quality_rules.op5(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["words_removed"] > 0 for r in rows) == 111
+
+
 def test_quality_hard_rows(spark, hard):
     rows = quality_rules.judge(hard).collect()
     assert len(rows) == hard.count() and all(r["base_failed"] for r in rows if r["doc_id"] in (2, 3))
