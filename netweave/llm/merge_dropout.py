@@ -2,11 +2,17 @@
 
 Merge-type encoding keeps an agenda of candidate merges, best piece first and
 leftmost among equals. Each candidate taken from the agenda is skipped if a
-keyed hash of (seed, stream, unit, place, piece) falls below the dropout rate;
-so segmentations vary, yet the same seed gives the same ids on every machine
-and on every retry. A document's stream is a hash of its id into ``STREAMS``
-streams: a word is segmented once for each stream and then looked up, which
-bounds the work, and different streams and seeds segment words differently.
+keyed hash of (seed, document, occurrence, place, piece) falls below the
+dropout rate: the document by a 64-bit hash of its id, the occurrence by its
+number in the document. So segmentations vary within and between documents,
+yet the same seed gives the same ids on every machine and on every retry.
+
+What is remembered is not a choice of segmentations but the agenda: a state is
+a unit with the candidates dropped so far, its ids if nothing more is dropped,
+and the candidates still to be decided. The decisions of all occurrences are
+hashed at once; those with a drop go on to the state that follows from it,
+which is computed when first met. The outcome is that of running the agenda
+for each occurrence.
 
 A text is cut before each run of spaces that a word follows; as no piece has
 a space mark after another character, merges never reach across such cuts and
@@ -40,18 +46,30 @@ from netweave.llm.common import table
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20
-STREAMS = 8
-#: Words that a worker remembers: without dropout, and for each stream.
+#: States and words that a worker remembers before it starts anew, and numbers in its pools.
 MEMORY = 250_000
-STREAM_MEMORY = 120_000
+POOL = 8_000_000
 _MASK = (1 << 64) - 1
 _SMALL = 256
 _SHORT = 48
+_SLICE = 1 << 16
 _NEVER = float("inf")
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class MergeCoder:
     """Agenda encoder and decoder over a merge-type SentencePiece model."""
 
@@ -60,7 +78,7 @@ class MergeCoder:
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.dropout, self.seed = dropout, seed
-        self.level = int(dropout * 2**64)
+        self.level = min(int(dropout * 2**64), _MASK)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(names) if model.is_byte(i)}
         self.ids = {n: i for i, n in enumerate(names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
@@ -73,28 +91,36 @@ class MergeCoder:
         for value, i in self.bytes.items():
             self.raw[i] = bytes([value])
         self.unknown = model.unk_id()
-        self.streams: dict[int, _Stream] = {}
-        self.plain: dict[str, tuple[bytes, list]] = {}
-
-    def key(self, word: str, stream: int) -> int:
-        """What the drop decisions of a word in a stream hang on, besides place and piece."""
-        from xxhash import xxh64_intdigest
-
-        return xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + stream)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew without states; state 0 has no ids."""
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.roots: dict[str, int] = {}
+        self.after: dict[tuple[int, int], int] = {}
+        self.made: list[tuple[str, frozenset]] = [("", frozenset())]
+        #: Of each state: first place and number of its candidates, and of its ids, in the pools.
+        self.table = array.array("q", [0, 0, 0, 0])
+        self.candidates, self.out = array.array("Q"), array.array("I")
+
+    def keys(self, stream: int, first: int, n: int) -> np.ndarray:
+        """What the drop decisions of ``n`` occurrences of a document hang on, besides place and piece."""
+        own = _mixed(np.array([(stream ^ self.seed * 0xD1342543DE82EF95) & _MASK], dtype=np.uint64))
+        return _mixed(own + np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def dropped(self, key: int, place: int, piece: int) -> bool:
         """Whether the candidate merge into ``piece`` at ``place`` is skipped: a keyed 64-bit mix below the level."""
         x = (key ^ (place << 32 | piece)) * 0x9E3779B97F4A7C15 & _MASK
         return (x ^ x >> 32) * 0xBF58476D1CE4E5B9 & _MASK < self.level
 
-    def segment(self, word: str, key: int | None = None, taken: list | None = None) -> list[str]:
+    def segment(self, word: str, drop=None, taken: list | None = None) -> list[str]:
         """The word's symbols after all merges that are not dropped; ``taken`` gets the candidates in the order of the agenda.
 
-        Without a key no merge is dropped. Short words keep their agenda as a
+        ``drop(place, piece)`` decides; without it no merge is dropped. Short words keep their agenda as a
         plain list of ranks, long ones as a heap; the order is the same.
         """
         if len(word) > _SHORT:
-            return self._segment_long(word, key, taken)
+            return self._segment_long(word, drop, taken)
         get, ids = self.rank.get, self.ids
         part, place = list(word), list(range(len(word)))
         ranks = [get(x + y, _NEVER) for x, y in zip(part, part[1:])]
@@ -106,7 +132,7 @@ class MergeCoder:
             joined = part[i] + part[i + 1]
             if taken is not None:
                 taken.append((place[i], ids[joined]))
-            if key is not None and self.dropped(key, place[i], ids[joined]):
+            if drop is not None and drop(place[i], ids[joined]):
                 ranks[i] = _NEVER
                 continue
             part[i] = joined
@@ -117,7 +143,7 @@ class MergeCoder:
                 ranks[i - 1] = get(part[i - 1] + joined, _NEVER)
         return part
 
-    def _segment_long(self, word: str, key: int | None, taken: list | None) -> list[str]:
+    def _segment_long(self, word: str, drop, taken: list | None) -> list[str]:
         rank, ids = self.rank, self.ids
         part = list(word)
         n = len(part)
@@ -131,7 +157,7 @@ class MergeCoder:
                 continue
             if taken is not None:
                 taken.append((a, ids[joined]))
-            if key is not None and self.dropped(key, a, ids[joined]):
+            if drop is not None and drop(a, ids[joined]):
                 continue
             part[a], part[b] = joined, ""
             c = nxt[a] = nxt[b]
@@ -165,62 +191,103 @@ class MergeCoder:
                 out += [self.bytes.get(value, self.unknown) for value in piece.encode("utf-8", "surrogatepass")]
         return array.array("I", out).tobytes()
 
-    def word_ids(self, word: str, stream: int = 0) -> bytes:
-        """Ids of a word in a stream: those of its units, one after the other."""
-        return b"".join([self._unit_ids(u, stream) for u in self.units(word)])
-
-    def _unit_ids(self, unit: str, stream: int) -> bytes:
-        """The ids without dropout and the candidates that lead to them are kept; a stream that drops none of those has the same ids."""
-        plain = self.plain.get(unit)
-        if plain is None:
+    def _state(self, unit: str, drops: frozenset, candidates: list, ids: bytes) -> int:
+        self.table.extend((len(self.candidates), len(candidates), len(self.out), len(ids) // 4))
+        self.candidates.extend([place << 32 | piece for place, piece in candidates])
+        self.out.frombytes(ids)
+        self.made.append((unit, drops))
+        return len(self.made) - 1
+
+    def _root(self, unit: str) -> int:
+        """The state of a unit of which nothing is decided yet."""
+        state = self.roots.get(unit)
+        if state is None:
             taken: list = []
-            plain = (self._packed(self.segment(unit, taken=taken)), taken)
-            if len(self.plain) >= MEMORY:
-                self.plain.clear()
-            if len(unit) < 64:
-                self.plain[unit] = plain
-        if not self.level or not plain[1]:
-            return plain[0]
-        key, dropped = self.key(unit, stream), self.dropped
-        for place, piece in plain[1]:
-            if dropped(key, place, piece):
-                return self._packed(self.segment(unit, key))
-        return plain[0]
+            ids = self._packed(self.segment(unit, taken=taken))
+            state = self.roots[unit] = self._state(unit, frozenset(), taken if self.level else [], ids)
+        return state
+
+    def _next(self, state: int, nth: int) -> int:
+        """The state after the candidate ``nth`` of ``state`` is the next one dropped."""
+        after = self.after.get((state, nth))
+        if after is None:
+            unit, drops = self.made[state]
+            x = self.candidates[self.table[4 * state] + nth]
+            last = (x >> 32, x & 0xFFFFFFFF)
+            drops, taken = drops | {last}, []
+            ids = self._packed(self.segment(unit, lambda place, piece: (place, piece) in drops, taken))
+            after = self.after[state, nth] = self._state(unit, drops, taken[taken.index(last) + 1 :], ids)
+        return after
+
+    def _units_of(self, word: str) -> tuple:
+        """States of the word's units; a unit that is too long for states stands for itself."""
+        found = tuple([self._root(u) if len(u) <= _SHORT else u for u in self.units(word)])
+        if len(word) < 64:
+            self.words[word] = found
+        return found
 
     def encode(self, text: str, stream: int = 0) -> bytes:
         """Ids as 32-bit numbers of this machine's byte order."""
-        if not text:
-            return b""
-        marked = SPACE + text.replace(" ", SPACE)
-        words = self.streams.get(stream)
-        if words is None:
-            words = self.streams[stream] = _Stream(self, stream)
-        parts = marked.split(SPACE)[1:]
-        if "" in parts:
-            return b"".join([words[x[1:]] if x[0] == SPACE and x[1:2] != SPACE and len(x) > 1 else self.word_ids(x, stream) for x in _WORDS.findall(marked)])
-        return b"".join(map(words.__getitem__, parts))
+        return self.encode_all([text], [stream])[0]
+
+    def encode_all(self, texts: list[str], streams: list[int]) -> list[bytes]:
+        """The ids of each text, its decisions keyed by its stream."""
+        if len(self.made) > MEMORY or len(self.words) > MEMORY or len(self.candidates) + len(self.out) > POOL:
+            self.forget()
+        states, sizes, keys = [], [], []
+        for text, stream in zip(texts, streams, strict=True):
+            before = len(states)
+            if text:
+                marked = SPACE + text.replace(" ", SPACE)
+                parts = marked.split(SPACE)[1:]
+                parts = _WORDS.findall(marked) if "" in parts else [SPACE + x for x in parts]
+                get = self.words.get
+                for word in parts:
+                    states += get(word) or self._units_of(word)
+            n = len(states) - before
+            sizes.append(n)
+            keys.append(self.keys(stream, 0, n))
+        key = np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
+        for at, state in enumerate(states):
+            if state.__class__ is str:
+                own = int(key[at])
+                ids = self._packed(self.segment(state, (lambda place, piece: self.dropped(own, place, piece)) if self.level else None))
+                states[at] = self._state("", frozenset(), [], ids)
+        state = np.array(states, dtype=np.int64)
+        if self.level:
+            for at in range(0, len(state), _SLICE):
+                self._decide(state[at : at + _SLICE], key[at : at + _SLICE])
+        first, n = np.frombuffer(self.table, dtype=np.int64).reshape(-1, 4)[state, 2:].T
+        data = np.frombuffer(self.out, dtype=np.uint32)[_ranges(first, n)] if len(self.out) else np.empty(0, dtype=np.uint32)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+        return [data[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _decide(self, state: np.ndarray, key: np.ndarray) -> None:
+        """Move each occurrence, in place, to the state after all its drops."""
+        left, level = np.arange(len(state)), np.uint64(self.level)
+        while len(left):
+            now = state[left]
+            first, n = np.frombuffer(self.table, dtype=np.int64).reshape(-1, 4)[now, :2].T
+            if not n.any():
+                break
+            x = np.frombuffer(self.candidates, dtype=np.uint64)[_ranges(first, n)]
+            x = (x ^ np.repeat(key[left], n)) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            hit = np.flatnonzero(x < level)
+            owner = np.searchsorted(np.cumsum(n), hit, side="right")
+            owner, at = np.unique(owner, return_index=True)
+            nth = hit[at] - (np.cumsum(n) - n)[owner]
+            after, follow = self.after, self._next
+            found = [after.get(pair) or follow(*pair) for pair in zip(now[owner].tolist(), nth.tolist(), strict=True)]
+            left = left[owner]
+            state[left] = found
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
         return b"".join([raw[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")[1:]
 
 
-class _Stream(dict):
-    """Ids of the word after one space mark in one stream, computed once."""
-
-    def __init__(self, coder: MergeCoder, stream: int):
-        super().__init__()
-        self.coder, self.stream = coder, stream
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= STREAM_MEMORY:
-            self.clear()
-        out = self.coder.word_ids(SPACE + word, self.stream)
-        if len(word) < 64:
-            self[word] = out
-        return out
-
-
 _coders: dict = {}
 
 
@@ -235,8 +302,8 @@ def coder(model: str, dropout: float, seed: int) -> MergeCoder:
     return _coders[model, dropout, seed]
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL, streams: int = STREAMS) -> DataFrame:
-    """(doc_id, stream, ids array<int>, lossless) for each row, ids decoded again and compared."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL) -> DataFrame:
+    """(doc_id, stream, ids array<int>, lossless) for each row, ``stream`` the hash of its id, ids decoded again and compared."""
     kind = dict(df.dtypes)[id_col]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,14 +312,14 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropou
             for at in range(0, len(whole), _SMALL):
                 batch = whole.iloc[at : at + _SMALL]
                 ids, same = [], []
-                for text, stream in zip(batch["text"], batch["stream"].tolist(), strict=True):
-                    data = own.encode(text or "", stream)
+                texts = [t or "" for t in batch["text"]]
+                for text, data in zip(texts, own.encode_all(texts, batch["stream"].tolist()), strict=True):
                     ids.append(np.frombuffer(data, dtype=np.int32))
-                    same.append(own.decode(data) == (text or ""))
+                    same.append(own.decode(data) == text)
                 yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "stream": batch["stream"].to_numpy(), "ids": ids, "lossless": same})
 
-    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(streams)).cast("int").alias("stream"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(each, "doc_id string, stream int, ids array<int>, lossless boolean").withColumn("doc_id", F.col("doc_id").cast(kind))
+    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(F.col(id_col).cast("string")).alias("stream"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(each, "doc_id string, stream long, ids array<int>, lossless boolean").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:

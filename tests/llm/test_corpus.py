@@ -89,6 +89,38 @@ def test_merge_coder(documents):
     assert len({dropped.encode(long, s) for s in range(4)} | {other.encode(long)}) == 5
 
 
+def test_drops_hang_on_document_and_occurrence(spark, documents):
+    import public_tokenizers
+
+    path = public_tokenizers.path(merge_dropout.MODEL)
+    own = merge_dropout.MergeCoder(path, 0.3)
+    texts = [r["text"] for r in documents.limit(30).collect()] + ["  two  spaces ", "a" * 500 + " b" * 50, "你好 世界" * 20, ""]
+    streams = [5 * i - 70 for i in range(len(texts))]
+    for text, stream, got in zip(texts, streams, own.encode_all(texts, streams)):
+        # The agenda run anew for each occurrence.
+        marked = merge_dropout.SPACE + text.replace(" ", merge_dropout.SPACE)
+        units = [u for w in merge_dropout._WORDS.findall(marked) for u in own.units(w)] if text else []
+        keys = own.keys(stream, 0, len(units)).tolist()
+        assert got == b"".join(own._packed(own.segment(u, lambda place, piece: own.dropped(k, place, piece))) for u, k in zip(units, keys))
+    word = "international"
+    within = own.encode_all([" ".join([word] * 400)], [1])[0]
+    assert len(_pieces_of_words(own, within)) > 12
+    df = spark.createDataFrame([(i, word + " " + word) for i in range(300)], "doc_id long, text string")
+    rows = merge_dropout.encode(df, dropout=0.3).collect()
+    assert all(r["lossless"] for r in rows) and len({tuple(r["ids"]) for r in rows}) > 100
+    assert any(len(set(_pieces_of_words(own, np.array(r["ids"], dtype=np.int32).tobytes()))) == 2 for r in rows)
+
+
+def _pieces_of_words(coder, ids):
+    """The distinct segmentations of the words of ``ids``."""
+    words = []
+    for i in memoryview(ids).cast("I"):
+        if coder.raw[i].startswith(b" "):
+            words.append([])
+        words[-1].append(i)
+    return {tuple(w) for w in words}
+
+
 # Near copies
 
 
