@@ -76,16 +76,35 @@ def _hashed(text: str) -> int:
     return key - ((key >> 63) << 64)
 
 
-def line_hashes(text: str, host: str | None) -> tuple[list[int], list[int]]:
-    """Hash and number of words of each line with a word: one entry for each distinct normalised line, its words summed up."""
-    prefix = _prefix(host)
-    found: dict[int, int] = {}
+def line_hashes(text: str, host: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of each line with a word: hash, number of words, and span [start, end) in code points with the line break after it."""
+    prefix, at = _prefix(host), 0
+    keys, sizes, starts, ends = [], [], [], []
+    known: dict[str, int] = {}
     for line in text.split("\n"):
         words = line.lower().split()
+        end = at + len(line) + 1
         if words:
-            key = _hashed(prefix + " ".join(words).translate(_DIGITS))
-            found[key] = found.get(key, 0) + len(words)
-    return list(found), list(found.values())
+            norm = " ".join(words).translate(_DIGITS)
+            if norm not in known:
+                known[norm] = _hashed(prefix + norm)
+            keys.append(known[norm])
+            sizes.append(len(words))
+            starts.append(at)
+            ends.append(min(end, len(text)))
+        at = end
+    return keys, sizes, starts, ends
+
+
+def without(text: str | None, spans) -> str | None:
+    """The text without the [start, end) spans, which are in order and do not overlap."""
+    if text is None or spans is None or not len(spans):
+        return text
+    out, at = [], 0
+    for s in spans:
+        out.append(text[at : s["start"]])
+        at = s["end"]
+    return "".join([*out, text[at:]])
 
 
 def measures(text: str) -> tuple[int, int, int, int, int]:
@@ -99,33 +118,54 @@ def measures(text: str) -> tuple[int, int, int, int, int]:
 
 
 def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Measures of each row, with the hashes and word counts of its lines, in one pass over the texts."""
+    """Measures of each row (numbered in ``__row``), with the hashes, word counts and spans of its lines, in one pass over the texts."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text, host in zip(batch["doc_id"], batch["text"], batch["host"], strict=True):
+            for row, doc, text, host in zip(batch["row"], batch["doc_id"], batch["text"], batch["host"], strict=True):
                 text = text or ""
-                rows.append((doc, *measures(text), _hashed(_prefix(host)), *line_hashes(text, host)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "host", "line", "line_words"])
+                rows.append((row, doc, *measures(text), _hashed(_prefix(host)), *line_hashes(text, host)))
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "host", "line", "line_words", "line_start", "line_end"])
 
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
-    schema = "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host long, line array<long>, line_words array<int>"
+    rows = df.select(F.col("__row").alias("row"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
+    schema = "row long, doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, host long, line array<long>, line_words array<int>, line_start array<int>, line_end array<int>"
     return rows.mapInPandas(each, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, min_words: int = MIN_WORDS, max_repeated: float = MAX_REPEATED) -> DataFrame:
-    """Measures, ``base_failed``, ``words_removed``, ``depleted`` and ``kept`` of each row."""
-    described = materialize(describe(df, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
-    often = described.select("host", F.explode("line").alias("line")).groupBy("line").agg(F.count("*").alias("docs"), F.first("host").alias("host")).where(F.col("docs") > max_docs)
+    """Measures, ``base_failed``, ``removed`` (spans of the lines above the limit), ``words_removed``, ``depleted`` and ``kept`` of each row."""
+    return _judge(df.withColumn("__row", F.monotonically_increasing_id()), id_col, text_col, host_col, max_docs, max_share, max_loss, min_words, max_repeated).drop("row")
+
+
+def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **how) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns, their texts without the lines above the limit."""
+    # Written once, so that row numbers hold.
+    rows = materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.monotonically_increasing_id().alias("__row")))
+    judged = _judge(rows.select("__row", *[F.col("all")[c].alias(c) for c in {id_col, text_col, host_col}]), id_col, text_col, host_col, **how)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    kept = rows.join(judged.where("kept").select(F.col("row").alias("__row"), F.transform("removed", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("removed")), "__row")
+    return kept.select(*[(cut(F.col("all")[c], F.col("removed")) if c == text_col else F.col("all")[c]).alias(c) for c in df.columns])
+
+
+def _judge(df: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, min_words: int = MIN_WORDS, max_repeated: float = MAX_REPEATED) -> DataFrame:
+    described = materialize(describe(df, id_col, text_col, host_col))
+    often = described.select("host", F.explode(F.array_distinct("line")).alias("line")).groupBy("line").agg(F.count("*").alias("docs"), F.first("host").alias("host")).where(F.col("docs") > max_docs)
     hosts = described.groupBy("host").agg(F.count("*").alias("host_docs"))
     often = often.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * max_share).select("line")
-    lines = described.select("row", F.explode(F.arrays_zip("line", "line_words")).alias("l")).select("row", F.col("l.line").alias("line"), F.col("l.line_words").alias("words"))
-    lost = lines.join(materialize(often), "line").groupBy("row").agg(F.sum("words").alias("words_removed"))
-    out = described.drop("host", "line", "line_words").join(lost, "row", "left").withColumn("words_removed", F.coalesce("words_removed", F.lit(0)).cast("long"))
+    lines = described.select("row", F.explode(F.arrays_zip("line", "line_start", "line_end", "line_words")).alias("l"))
+    lines = lines.select("row", F.col("l.line").alias("line"), F.struct(F.col("l.line_start").alias("start"), F.col("l.line_end").alias("end"), F.col("l.line_words").alias("words")).alias("span"))
+    lost = lines.join(materialize(often), "line").groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("removed"))
+    out = described.drop("host", "line", "line_words", "line_start", "line_end").join(lost, "row", "left")
+    out = out.withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,end:int,words:int>>)")))
+    out = out.withColumn("words_removed", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["words"]))
     base_failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * max_repeated)
-    return out.withColumn("base_failed", base_failed).withColumn("depleted", F.col("words_removed") > F.col("n_words") * max_loss).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("row")
+    return out.withColumn("base_failed", base_failed).withColumn("depleted", F.col("words_removed") > F.col("n_words") * max_loss).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
 def op5(spark, sf_dir) -> DataFrame:

@@ -36,7 +36,6 @@ repeated long texts go entirely. Each row gets its row.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -143,20 +142,23 @@ def _arrays(df: DataFrame, step, schema: str) -> DataFrame:
     return df.mapInPandas(each, f"row long, {schema}")
 
 
-def kept_bytes(data: bytes, spans: np.ndarray) -> tuple[int, int, str]:
-    """Bytes removed, maximal runs removed, and SHA-256 of the rest, for [start, end) spans."""
+def maximal(spans: np.ndarray) -> np.ndarray:
+    """The maximal runs that [start, end) spans cover, in order."""
     if not len(spans):
-        return 0, 0, hashlib.sha256(data).hexdigest()
+        return spans.reshape(0, 2)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     reach = np.maximum.accumulate(spans[:, 1])
     new = np.concatenate([[True], spans[1:, 0] > reach[:-1]])
-    starts, ends = spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]
-    kept, at = hashlib.sha256(), 0
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        kept.update(data[at:a])
+    return np.stack([spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], axis=1)
+
+
+def kept_bytes(data: bytes, runs: np.ndarray) -> bytes:
+    """What is left of ``data`` without its maximal runs."""
+    out, at = [], 0
+    for a, b in runs.tolist():
+        out.append(data[at:a])
         at = b
-    kept.update(data[at:])
-    return int((ends - starts).sum()), len(starts), kept.hexdigest()
+    return b"".join([*out, data[at:]])
 
 
 def bucketed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,8 +172,8 @@ def bucketed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN) -> DataFrame:
+    """(id, n_bytes, spans, kept) for each row: the maximal runs [start, end) of bytes that go, and the bytes that stay."""
     texts = bucketed(df, id_col, text_col)
     long_ones = texts.where(F.octet_length("data") >= min_len)
 
@@ -218,15 +220,25 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_l
     # 4. What goes.
     spans = materialize(roles.where("settled").select("row", "low", "high").union(edges).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
 
-    def cut(data: bytes, runs):
-        spans = np.array([(r["low"], r["high"] + min_len) for r in runs], dtype=np.int64).reshape(-1, 2)
-        return kept_bytes(data, spans)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole_batch in batches:
+            for at in range(0, len(whole_batch), 256):
+                batch = whole_batch.iloc[at : at + 256]
+                runs = [maximal(np.array([(r["low"], r["high"] + min_len) for r in x], dtype=np.int64).reshape(-1, 2)) if x is not None else np.empty((0, 2), dtype=np.int64) for x in batch["spans"]]
+                kept = [kept_bytes(bytes(d), r) for d, r in zip(batch["data"], runs, strict=True)]
+                yield pd.DataFrame({"id": batch["id"].to_numpy(), "n_bytes": [len(d) for d in batch["data"]], "starts": [r[:, 0] for r in runs], "ends": [r[:, 1] for r in runs], "kept": kept})
 
-    removed = _arrays(texts.select("row", "data").join(spans, "row"), cut, "n_removed long, n_spans long, kept_sha256 string")
-    plain = texts.select("row", "id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("whole_sha256"))
-    out = plain.join(removed, "row", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
+    # Ids travel as strings, so that nulls among them cannot turn integers into floats.
+    rows = texts.join(spans, "row", "left").select(F.col("id").cast("string").alias("id"), "data", "spans")
+    out = rows.mapInPandas(cut, "id string, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    pairs = F.zip_with("starts", "ends", lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return out.select(F.col("id").cast(dict(texts.dtypes)["id"]).alias("id"), "n_bytes", pairs.alias("spans"), "kept")
+
+
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row, from the spans and bytes of ``cut_repeats``."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut_repeats(df, id_col, text_col, min_len).select("id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6(spark, sf_dir) -> DataFrame:

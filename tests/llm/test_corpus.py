@@ -351,6 +351,19 @@ def test_quality_hard_rows(spark, hard):
     assert quality_rules.judge(hard.limit(0)).count() == 0
 
 
+def test_clean_removes_the_lines(spark):
+    words = " ".join("abcdefgh"[i % 8] * (i + 1) for i in range(60))
+    texts = [f"é common LINE {i}\n{words} {'abcdefgh'[i]}\nCommon line\n\nEnd line 5" for i in range(7)] + [words, None]
+    texts = [t.replace("Common line", f"é  Common line {9 - i}") if t else t for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, "h", 7) for i, t in enumerate(texts)], "doc_id long, text string, source string, other int")
+    out = quality_rules.clean(df)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got == {i: f"{words} {'abcdefgh'[i]}\n\n" for i in range(7)} | {7: words}
+    spans = {r["doc_id"]: r["removed"] for r in quality_rules.judge(df).collect()}
+    assert [texts[1][s["start"] : s["end"]] for s in spans[1]] == ["é common LINE 1\n", "é  Common line 8\n", "End line 5"]
+
+
 # Long repeats
 
 
@@ -386,6 +399,15 @@ def test_repeats(spark, n):
     assert [got[i] for i in [*range(40), 100]] == want
 
 
+def test_cut_repeats_gives_bytes_and_spans(spark):
+    rng = random.Random(3)
+    same = "é" + "".join(rng.choice("abcdef") for _ in range(60))
+    texts = ["before " + same + " after", same + "!", "nothing", None]
+    rows = substring_dedup.cut_repeats(spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string"), min_len=30).collect()
+    got = {r["id"]: (bytes(r["kept"]), [tuple(s) for s in r["spans"]]) for r in rows}
+    assert got == {None: (b"before  after", [(7, 69)]), 1: (b"!", [(0, 62)]), 2: (b"nothing", []), 3: (b"", [])}
+
+
 # Toxicity and language
 
 
