@@ -45,6 +45,7 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+_BEGIN = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
 #: Published formats of service credentials.
 MORE = (
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
@@ -52,7 +53,8 @@ MORE = (
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,247}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # The whole key: to its END line or, where that is missing, its header lines and the run of base64 and white space.
+    Rule("private_key", _BEGIN + r"(?:[^-]*(?:-{1,4}[^-]+){0,40}" + _BEGIN.replace("BEGIN", "END") + r"|(?:(?:\s|\\[nr])*[A-Za-z-]{1,20}:[^\n\\]*(?:\n|\\[nr])){0,8}(?:[A-Za-z0-9+/=\s\\]*[A-Za-z0-9+/=])?)"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%-]+:[^\x00-\x20/@:\x22\x27<>]{3,}@"),
 )
 RULES = BASE + MORE
