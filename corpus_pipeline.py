@@ -37,8 +37,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, one for each sequence."""
-    return packing.pack(docs)
+    """The pieces of all documents with their token ids, one for each sequence."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [

@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,20 +124,21 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_le
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = byte_bpe(tokenizer)
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
                 data = memoryview(coder.ids(text or "") + end)
                 n = len(data) // 4
                 for start, size in binary_pieces(n, seq_len):
                     part = data[4 * start : 4 * (start + size)]
-                    rows.append((doc, start, size, zlib.crc32(part), n, *([part.cast("I").tolist()] if with_ids else ())))
-                if len(rows) >= 50_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+                    rows.append((doc, start, size, zlib.crc32(part), n, *([np.frombuffer(part, dtype=np.int32)] if with_ids else ())))
+                    held += size * with_ids
+                    if len(rows) >= 50_000 or held >= 1 << 20:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
 
 

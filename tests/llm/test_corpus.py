@@ -507,3 +507,10 @@ def test_pipeline(spark):
             assert len(rows) == len(kept[name])
             docs = spark.createDataFrame(rows, docs.schema)
     assert kept["secret_scan"] == kept["near_dedup"] <= kept["exact_dedup"] <= kept["toxicity"] and kept["packing"] == kept["secret_scan"]
+
+
+def test_pipeline_packs_token_ids(spark, documents):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.pack(spark, documents.limit(20), DATA).collect()
+    assert rows and all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) == r["ids_crc32"] for r in rows)
