@@ -13,7 +13,8 @@ counts give each shard its first number. They depend on the rows alone, not
 on how Spark partitioned them, and no bucket is sorted in one task.
 
 Defined results: a null or empty text is its end id alone, one piece of
-length 1. Strings of special tokens in a text are ordinary text. Rows that
+length 1. A string of one of the tokenizer's added tokens in a text is that
+token, as the tokenizer's own default has it. Rows that
 repeat a document id each give their own pieces and sequences. Text of any
 length is tokenized whole.
 """
@@ -21,6 +22,7 @@ length is tokenized whole.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -65,7 +67,7 @@ class WordIds(dict):
 class ByteBpe:
     """The byte-level BPE tokenizer: same ids as encoding the whole text, at the speed of a lookup for each word."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
@@ -73,21 +75,37 @@ class ByteBpe:
         coder = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         import array
 
-        self.encode = lambda text: array.array("I", coder.encode_ordinary(text)).tobytes()
-        self.words = WordIds(self.encode)
+        self.ordinary = lambda text: array.array("I", coder.encode_ordinary(text)).tobytes()
+        self.words = WordIds(self.ordinary)
+        self.added = {name: array.array("I", [i]).tobytes() for name, i in (added or {}).items()}
+        # The longest of the added tokens that begin at a place; the group keeps them among the parts.
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda text: [text]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of the whole text, without the cache of words."""
+        return self._parts(text, self.ordinary)
 
     def ids(self, text: str) -> bytes:
+        return self._parts(text, self._by_words)
+
+    def _parts(self, text: str, ids) -> bytes:
+        parts = self.split(text)
+        if len(parts) == 1:
+            return ids(text)
+        return b"".join([self.added[x] if n % 2 else ids(x) for n, x in enumerate(parts)])
+
+    def _by_words(self, text: str) -> bytes:
         if _ODD.search(text):
-            return self.encode(text)
+            return self.ordinary(text)
         first, *rest = _CUT.split(text) if _RUN.search(text) else text.split(" ")
         if not rest:
-            return self.encode(text)
+            return self.ordinary(text)
         if rest[-1] == "":  # the text ends in a space, which is no cut
             rest.pop()
             if not rest:
-                return self.encode(text)
+                return self.ordinary(text)
             rest[-1] += " "
-        return self.encode(first) + b"".join(map(self.words.__getitem__, rest))
+        return self.ordinary(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 _coders: dict = {}
@@ -97,7 +115,11 @@ def byte_bpe(name: str = "byte_bpe_50k") -> ByteBpe:
     if name not in _coders:
         import public_tokenizers
 
-        _coders[name] = ByteBpe(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as described:
+            tokens = json.load(described)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+            raise ValueError("added tokens that take in or look at what is beside them")
+        _coders[name] = ByteBpe(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, {t["content"]: t["id"] for t in tokens})
     return _coders[name]
 
 

@@ -66,6 +66,16 @@ def test_word_cache_gives_the_same_ids(text):
     assert own.ids(text) == own.encode(text)
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", " a  <|endoftext|>  b c\n<|endoftext|><|endoftext|> ", "<|endoftext|", "x <|endoftext|> é\u3000y <|endoftext|>", "<|<|endoftext|>|>"])
+def test_added_tokens_are_the_tokenizers(text):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.frombuffer(packing.byte_bpe().ids(text), dtype=np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_binary_pieces():
     assert packing.binary_pieces(5000, 2048) == [(0, 2048), (2048, 2048), (4096, 512), (4608, 256), (4864, 128), (4992, 8)]
     assert packing.binary_pieces(1) == [(0, 1)]
