@@ -8,9 +8,11 @@ numbered bucket by bucket, the longest bucket first, so a batch of one length
 is a range of numbers.
 
 Numbers: within a bucket rows are dealt to ``shards`` shards by a hash of the
-document id, ordered by (doc_id, start) within the shard, and the shards'
-counts give each shard its first number. They depend on the rows alone, not
-on how Spark partitioned them, and no bucket is sorted in one task.
+piece (its document id, place and checksum, so that neither a long document
+nor an id that many rows share is one shard), ordered by (doc_id, start) within
+the shard, and the shards' counts give each shard its first number. They depend
+on the rows alone, not on how Spark partitioned them, and no bucket is sorted
+in one task.
 
 Defined results: a null or empty text is its end id alone, one piece of
 length 1. A string of one of the tokenizer's added tokens in a text is that
@@ -28,7 +30,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,30 +145,40 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_le
     kind = dict(df.dtypes)[id_col]
     end = end_id.to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(tokenizer)
         for batch in batches:
-            rows, held = [], 0
-            for doc, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
+            rows, held = [], []
+            size = 0
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 data = memoryview(coder.ids(text or "") + end)
                 n = len(data) // 4
-                for start, size in binary_pieces(n, seq_len):
-                    part = data[4 * start : 4 * (start + size)]
-                    rows.append((doc, start, size, zlib.crc32(part), n, *([np.frombuffer(part, dtype=np.int32)] if with_ids else ())))
-                    held += size * with_ids
-                    if len(rows) >= 50_000 or held >= 1 << 20:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, held = [], 0
-            yield pd.DataFrame(rows, columns=names)
+                rows += [(row, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n) for start, length in binary_pieces(n, seq_len)]
+                if with_ids:
+                    # Pieces cover the document in order, so its ids are theirs, one after the other.
+                    held.append(data)
+                    size += n
+                if len(rows) >= 50_000 or size >= 1 << 20:
+                    yield built(batch, rows, held)
+                    rows, held, size = [], [], 0
+            yield built(batch, rows, held)
+
+    def built(batch: pa.RecordBatch, rows: list, held: list) -> pa.RecordBatch:
+        row, start, length, crc, n = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+        columns = [batch.column("doc_id").take(pa.array(row)), *(pa.array(x) for x in (start, length, crc, n))]
+        if with_ids:
+            ids = np.frombuffer(b"".join(held), dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids)))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, schema)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, shards: int = SHARDS, **how) -> DataFrame:
     """The pieces with their ``sequence_id`` and ``offset`` (always 0: a piece fills its sequence)."""
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(shards)).cast("int")
     cut = materialize(pieces(df, id_col, text_col, seq_len, **how).withColumn("shard", shard))
     counts = cut.groupBy("length", "shard").agg(F.count("*").alias("n"))
     # One row for each length (12 for 2048) and shard: a bounded table, small enough for one task and for a broadcast.

@@ -37,7 +37,6 @@ def test_pieces_are_binary_and_whole(spark, documents):
     import public_tokenizers
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
     out = packing.pack(documents, with_ids=True).collect()
     assert sorted(r["sequence_id"] for r in out) == list(range(len(out)))
@@ -67,6 +66,28 @@ def test_added_tokens_are_the_tokenizers(text):
     assert np.frombuffer(packing.byte_bpe().ids(text), dtype=np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_hard_rows(spark, hard):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    more = spark.createDataFrame([(7, "a<|endoftext|>b <|endoftext|> x"), (None, None), (8, " " * 5000), (9, "é" * 9000)], "doc_id long, text string")
+    both = hard.select("doc_id", "text").union(more)
+    out = packing.pack(both, with_ids=True).collect()
+    assert sorted(r["sequence_id"] for r in out) == list(range(len(out)))
+    want, got = Counter(), Counter()
+    for doc, text in columns(both, "doc_id", "text"):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [1]
+        for start, size in packing.binary_pieces(len(ids)):
+            part = ids[start : start + size]
+            want[doc, start, size, zlib.crc32(np.array(part, dtype="<u4").tobytes()), len(ids), tuple(part)] += 1
+    for r in out:
+        got[r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], tuple(r["ids"])] += 1
+    assert got == want and (1 << 53) + 1 in {r["doc_id"] for r in out}
+    assert packing.pack(hard.limit(0)).count() == 0
+
+
 def test_binary_pieces():
     assert packing.binary_pieces(5000, 2048) == [(0, 2048), (2048, 2048), (4096, 512), (4608, 256), (4864, 128), (4992, 8)]
     assert packing.binary_pieces(1) == [(0, 1)]
