@@ -454,6 +454,74 @@ def test_main_text(spark):
     assert (got[3]["text"], got[4]["text"], got[5]["text"]) == ("only text", "", "")
 
 
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<p>hello world</p>", "hello world"),
+        ("<html><p>hello</p></html>", "hello"),
+        ("hello <b>x</b>", "hello x"),
+        ("<article><p>Let <math><mi>x</mi></math> be.</p><p class=related>Related work</p></article>", "Let x be. Related work"),
+        ("<article><p class='notice'>a</p><h2 class=banner>b</h2><span class=comment>c</span><div class=notice>gone</div></article>", "a b c"),
+        ("<article><svg><text>drawn</text></svg><object>told</object><video>no video</video> end</article>", "drawntold end"),
+        ("<div>one<video>two<p>three</div>", "onetwo three"),
+        ("a < b && c &lt; d &amp;amp; e", "a < b && c < d &amp; e"),
+        ('<div>one <a href="x>two</a> three</div>', "one two three"),
+        ("<div>one <b two", "one"),
+        ("<div><p>a<p>b<ul><li>c<li>d</ul>e</i></em>f<table><tr><td>g<td>h<tr><td>i</table></div>", "a b c d ef g h i"),
+        ("<div>x<!-- y -->z<![CDATA[ <q> ]]>w<!-- never closed", "xz <q> w"),
+        ("<a href=x>only links</a>", "only links"),
+        ("<div hidden>no</div><div>yes<xmp><b>raw</b></xmp></div>", "yes <b>raw</b>"),
+        ("", ""),
+        (None, ""),
+        ("<script>x", ""),
+    ],
+)
+def test_markup(html, want):
+    assert html_extract.extract(html, html_extract.vote_of(html)[0]) == want
+    assert html_extract.extract(html, "html/body/div.not/there") == want
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<a " + '"x" ' * n,
+        lambda n: "<a " + "'\"' " * n + "text",
+        lambda n: '<a ="' * n,
+        lambda n: "<font>" * n + "text",
+        lambda n: "<div class=a1>" * n + "text" + "</span>" * n,
+        lambda n: "<i><p>" * n + "text" + "</b></i>" * n,
+        lambda n: "<li>x<td>y<p>" * n,
+        lambda n: "<video>x" * n,
+        lambda n: "<!--" * n,
+        lambda n: "<" * n,
+        lambda n: "<a " * n,
+        lambda n: "&amp" * n,
+        lambda n: "<p a" + " " * n + "b" * n,
+        lambda n: "</p><p>w " * n,
+    ],
+)
+def test_broken_pages_take_linear_time(make):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html = make(n)
+        html_extract.extract(html, html_extract.vote_of(html)[0])
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(100_000) < max(1.0, 40 * seconds(10_000)) and seconds(100_000) < 15
+
+
+def test_pages_hard_rows(spark):
+    rows = [(1, None, "<p>a"), (1, "http://h/", "<p>a"), (None, "http://h/", None), (None, "", "<p>b"), (2, "http://H:80/x", "<div>" * 3000 + "c")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, path string")
+    got = sorted(((r["page_id"] or 0, r["url"], r["text"]) for r in html_extract.main_text(pages).collect()), key=repr)
+    assert got == sorted([(1, None, "a"), (1, "http://h/", "a"), (0, "http://h/", ""), (0, "", "b"), (2, "http://H:80/x", "c")], key=repr)
+    assert sorted(r["text"] for r in html_extract.main_text(pages, max_broadcast=0).collect()) == sorted(t for *_, t in got)
+    assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
 def test_pages_of_the_tables(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     for r in html_extract.op9(spark, DATA).collect():
