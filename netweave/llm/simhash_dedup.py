@@ -1,10 +1,16 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
 Fingerprints are 64 majority bits over the XXH64 values (seed 42) of a text's
-word shingles. Documents whose fingerprints differ in ``RADIUS`` bits or fewer
-are linked, and groups are the connected components.
+word shingles. There are two rules for links, and groups are the connected
+components of either:
 
-How links are found, without comparing all pairs: equal fingerprints are one
+* ``near_groups``: fingerprints that differ in ``RADIUS`` bits or fewer.
+* ``drop_near_copies``: texts whose sets of five-word shingles have a Jaccard
+  similarity of 0.8 or more. Fingerprints of such texts differ in 10 bits on
+  average and in 19 at most of some 7,000 pairs made for it, so candidates are
+  those within ``SIMILAR_RADIUS`` bits, compared exactly afterwards.
+
+Near fingerprints, without comparing all pairs: equal fingerprints are one
 node. Cut in four blocks of 16 bits, two fingerprints that differ in at most
 two bits agree on at least two blocks, so each goes to the six buckets of two
 of its blocks. A bucket of more than 65,536 fingerprints is dealt again by two
@@ -14,10 +20,22 @@ Within a bucket the index of ``hamming_index`` finds the neighbours and a
 spanning set of links leaves the task. Components are then computed over
 fingerprints, not documents.
 
+Similar texts: blocks of bits cannot deal out so wide a radius, so nodes, which
+are distinct sets, are dealt to the buckets of ``BANDS`` keys in front of the
+index, each a hash of the least values of ``ROWS`` permutations of the set; of
+similarity 0.8 a pair shares none with a chance of (1 - 0.8**5)**20 = 0.0004.
+All nodes of a bucket are first compared with its leader, twice with different
+leaders, so a large group of near copies costs its size and not its square.
+In buckets that are not one component by then the index finds the pairs
+within the radius whose nodes are not connected yet; buckets of more than
+``MOST`` nodes are joined by Spark instead, which may split them. Pairs left
+out are connected already, so components are those of all candidate pairs.
+
 Defined results: a null, empty or blank text has fingerprint 0 and is linked
-like any other; a text of one or two words is one shingle. A null id takes
-part in its group, and the group's id is its smallest id that is not null.
-Rows that repeat an id each get their row.
+like any other, and its set is empty, like any other's of its kind; a text of
+fewer words than a shingle is one shingle. White space and case of A to Z do
+not count. A null id takes part in its group, and the group's id is its
+smallest id that is not null. Rows that repeat an id each get their row.
 """
 
 from __future__ import annotations
@@ -27,17 +45,24 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.llm.common import materialize, table
 from netweave.llm.components import connected_components
-from netweave.llm.hamming_index import spanning_links
+from netweave.llm.hamming_index import GrayIndex, gray_rank, spanning_links
 
 SHINGLE = 3
 RADIUS = 2
+SIMILAR_SHINGLE = 5
+SIMILAR = 0.8
+SIMILAR_RADIUS = 22
+BANDS = 20
+ROWS = 5
 SEED = 42
 MOST = 65_536
+#: Fingerprints that one node of the index holds.
+LEAF = 8
 _CHUNK = 1 << 16
 
 
@@ -150,18 +175,183 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return prints.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` that stay: of each group the one with the smallest id, with all its columns.
+# Groups by similarity of texts
+
+
+def shingle_set(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles of ``text``."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    whole = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = (ends - [len(w) for w in words])[: max(1, len(words) - shingle + 1)]
+    ends = ends[min(shingle, len(words)) - 1 :]
+    return np.unique(np.array([xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Majority bits over a set of shingles, each counted once as in its similarity."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
+def _odd(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One signed 64-bit key for each band: a hash of the least values of ``rows`` permutations of the set."""
+    factors = _odd(bands * rows)[:, None]
+    least = np.full(bands * rows, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12)] * factors).min(axis=1))
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
-    Rows without an id stay only in groups without any id. Of rows that repeat
+
+def _set_prints(rows: DataFrame, shingle: int) -> DataFrame:
+    """(row, code, fp, size, bands): ``code`` stands for the set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, text in zip(batch["row"], batch["text"], strict=True):
+                s = shingle_set(text, shingle)
+                code = xxh64_intdigest(s.tobytes(), SEED)
+                out.append((row, code - ((code >> 63) << 64), set_fingerprint(s), len(s), band_keys(s)))
+            yield pd.DataFrame(out, columns=["row", "code", "fp", "size", "bands"])
+
+    return rows.mapInPandas(each, "row long, code long, fp long, size int, bands array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """The (u, v) of ``pairs`` that are similar enough."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, None
+        for batch in batches:
+            stays = []
+            for u, a, b in zip(batch["u"].tolist(), batch["a"], batch["b"], strict=True):
+                if u != last:
+                    last, held = u, shingle_set(a, shingle)
+                stays.append(jaccard(held, shingle_set(b, shingle)) >= similar)
+            yield batch.loc[stays, ["u", "v"]]
+
+    full = pairs.join(texts.select(F.col("code").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("code").alias("u"), F.col("text").alias("a")), "u")
+    return materialize(full.select("u", "v", "a", "b").sortWithinPartitions("u").mapInPandas(each, "u long, v long"))
+
+
+def bucket_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of all rows of one key, which are neighbours, whose fingerprints differ in ``radius`` bits or fewer."""
+    if not len(keys):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    sizes = np.diff(np.append(starts, len(keys)))
+    fps, left, right = fps.view(np.uint64), [], []
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]).tolist():
+        # What would be a single node of the index is compared at once, for all buckets of a size.
+        at = starts[sizes == size]
+        for k in range(0, len(at), 1 << 14):
+            places = at[k : k + (1 << 14), None] + np.arange(size)
+            codes = fps[places]
+            bucket, a, b = np.nonzero(np.triu(np.ones((size, size), dtype=bool), 1) & (np.bitwise_count(codes[:, :, None] ^ codes[:, None, :]) <= radius))
+            left.append(places[bucket, a])
+            right.append(places[bucket, b])
+    for at, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+        index = GrayIndex(fps[at : at + size])
+        order = np.argsort(gray_rank(fps[at : at + size]), kind="stable")
+        for a, b in index.search(index.codes, radius):
+            keep = a < b
+            left.append(at + order[a[keep]])
+            right.append(at + order[b[keep]])
+    return np.concatenate([np.empty(0, dtype=np.int64), *left]), np.concatenate([np.empty(0, dtype=np.int64), *right])
+
+
+def _searched(members: DataFrame, similar: float, radius: int) -> DataFrame:
+    """(u, v) of different roots and like sizes within ``radius`` bits in a bucket, by the index of each bucket."""
+    schema = "u long, v long"
+
+    def pairs(batch: pd.DataFrame) -> pd.DataFrame:
+        a, b = bucket_pairs(batch["key"].to_numpy(), batch["fp"].to_numpy(), radius)
+        code, size, root = (batch[c].to_numpy() for c in ("code", "size", "root"))
+        keep = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similar * np.maximum(size[a], size[b]))
+        a, b = code[a[keep]], code[b[keep]]
+        return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = batch["key"].to_numpy() == batch["key"].iloc[-1] if len(batch) else np.zeros(0, dtype=bool)
+            held = batch[last]
+            yield pairs(batch[~last])
+        if held is not None:
+            yield pairs(held)
+
+    return members.repartition("key").sortWithinPartitions("key").mapInPandas(search, schema)
+
+
+def _similar_groups(rows: DataFrame, shingle: int, similar: float, radius: int, most: int) -> DataFrame:
+    """(row, code, root) for each row of ``rows`` (row, text)."""
+    prints = materialize(_set_prints(rows, shingle))
+    nodes = materialize(prints.groupBy("code").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    keyed = nodes.select("code", "fp", "size", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = materialize(keyed.join(shared, "key"))
+    asked = members.select("code").distinct().join(nodes.select("code", "row"), "code")
+    texts = materialize(asked.join(rows, "row").select("code", "text"))
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= radius) & (F.least("size", "other") >= F.lit(similar) * F.greatest("size", "other"))
+    links, roots = None, members.select(F.col("code").alias("node"), F.col("code").alias("root")).distinct()
+    for turn in range(3):
+        placed = members.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+        lead = F.min(F.struct(F.xxhash64("code", F.lit(turn)), "code", "fp", "size", "root")).alias("lead")
+        split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), lead).where("x != y")
+        if turn < 2:
+            leaders = split.select("key", F.col("lead.code").alias("u"), F.col("lead.fp").alias("other_fp"), F.col("lead.size").alias("other"), F.col("lead.root").alias("top"))
+            found = placed.join(leaders, "key").where("root != top").where(near).select(F.least("u", "code").alias("u"), F.greatest("u", "code").alias("v"))
+        else:
+            open_ = materialize(placed.join(split.select("key", "n"), "key"))
+            found = _searched(open_.where(F.col("n") <= most), similar, radius)
+            full = open_.where(F.col("n") > most)
+            other = full.select("key", F.col("code").alias("u"), F.col("fp").alias("other_fp"), F.col("size").alias("other"), F.col("root").alias("top"))
+            found = found.union(full.join(other, "key").where("root != top AND u < code").where(near).select("u", F.col("code").alias("v")))
+        found = materialize(found.distinct())
+        more = _verified(found, texts, shingle, similar)
+        links = more if links is None else links.union(more)
+        roots = connected_components(links)
+    return prints.join(roots.withColumnRenamed("node", "code"), "code", "left").select("row", "code", F.coalesce("root", "code").alias("root"))
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similar: float = SIMILAR, radius: int = SIMILAR_RADIUS, most: int = MOST) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: one of each group of similar texts, the one with the smallest id.
+
+    Rows without an id stay only in groups without any; of rows that repeat
     the id that stays, one is kept.
     """
-    groups = near_groups(df, id_col, text_col, **how)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = df.withColumn("__id", F.col(id_col))
-    rows = rows.join(stays, rows["__id"].eqNullSafe(stays["__id"]), "left_semi")
-    first = Window.partitionBy("__id").orderBy(F.col(text_col))
-    return rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    # Written once, so that row numbers hold for all that follows.
+    rows = materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")))
+    text = F.col("all")[text_col].alias("text")
+    groups = _similar_groups(rows.select("row", text), shingle, similar, radius, most)
+    keys = rows.select("row", "id", F.xxhash64(F.col("all")[text_col]).alias("tie"))
+    # The least of a group is combined in each task before the shuffle, so a large group is a row for each task.
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "code", "tie", "row")).alias("first")
+    stays = materialize(groups.join(keys, "row").groupBy("root").agg(least).select(F.col("first.row").alias("row")))
+    return rows.join(stays, "row", "left_semi").select(*[F.col("all")[c].alias(c) for c in df.columns])
 
 
 def op3(spark, sf_dir) -> DataFrame:

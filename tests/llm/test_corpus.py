@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netweave.llm import exact_dedup, html_extract, language_id, near_dedup, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, toxicity
+from netweave.llm import exact_dedup, html_extract, language_id, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, toxicity
 from netweave.llm.components import connected_components
 from netweave.llm.hamming_index import GrayIndex, gray_rank, spanning_links
 
@@ -165,8 +165,6 @@ def test_simhash_groups(spark, documents):
 def test_simhash_hard_rows(spark, hard):
     rows = [tuple(r) for r in simhash_dedup.near_groups(hard).select("doc_id", "component_id").collect()]
     assert len(rows) == hard.count() and rows.count((1, 1)) == 2 and (2, 2) in rows and (3, 2) in rows and (None, 2) in rows and (None, 1) in rows
-    kept = simhash_dedup.drop_near_copies(hard)
-    assert kept.columns == hard.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 6]
     assert simhash_dedup.near_groups(hard.limit(0)).count() == 0
 
 
@@ -179,28 +177,53 @@ def brute_near(texts, similar=0.8):
     return pairs, _sets(sets, [a for a, _ in pairs], [b for _, b in pairs])
 
 
-def test_near_dedup_of_the_pipeline(spark, documents):
-    import corpus_pipeline
+def family(rng, count, words=300, edits=(1, 3, 4, 6, 12, 20)):
+    """Texts that differ from one text in a few words."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    for _ in range(count):
+        own = list(base)
+        for k in rng.sample(range(words), rng.choice(edits)):
+            own[k] = f"n{rng.randrange(10**6)}"
+        yield " ".join(own)
 
+
+@pytest.mark.parametrize("most", [65_536, 4])
+def test_similar_texts_against_brute_force(spark, documents, most):
     rng = random.Random(8)
     texts = {r["doc_id"]: r["text"] for r in documents.select("doc_id", "text").collect()}
-    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
-    for i in range(40):
-        words = list(base)
-        for k in rng.sample(range(300), rng.choice([1, 3, 4, 6, 12])):
-            words[k] = f"n{rng.randrange(10**6)}"
-        texts[10_000 + i] = " ".join(words)
+    for n, words in enumerate((300, 60, 1000)):
+        texts |= {10_000 * (n + 1) + i: t for i, t in enumerate(family(rng, 40, words))}
     pairs, groups = brute_near(texts)
     bits = lambda a, b: bin(brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).count("1")
-    assert any(bits(a, b) > 2 for a, b in pairs)
+    assert any(bits(a, b) > 2 for a, b in pairs) and len(set(groups.values())) < len(texts) - 60
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()} == set(groups.values())
+    assert {r["doc_id"] for r in simhash_dedup.drop_near_copies(df, most=most).collect()} == set(groups.values())
+
+
+def test_bucket_pairs():
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 60, 700))
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    fps = base[keys] ^ np.bitwise_and.reduce(rng.integers(0, 2**64, (3, 700), dtype=np.uint64)) * (rng.random(700) < 0.8).astype(np.uint64)
+    keys[500:] = 99
+    a, b = simhash_dedup.bucket_pairs(keys, fps.view(np.int64), 12)
+    got = Counter((min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist()))
+    assert got == Counter((i, j) for i in range(700) for j in range(i + 1, 700) if keys[i] == keys[j] and int(fps[i] ^ fps[j]).bit_count() <= 12)
+
+
+def test_near_copies_hard_rows(spark, hard):
+    kept = simhash_dedup.drop_near_copies(hard)
+    assert kept.columns == hard.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 6, (1 << 53) + 1]
+    assert simhash_dedup.drop_near_copies(hard.limit(0)).count() == 0
 
 
-def test_near_dedup_hard_rows(spark, hard):
-    kept = near_dedup.drop_near_copies(hard)
-    assert kept.columns == hard.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 6]
-    assert near_dedup.drop_near_copies(hard.limit(0)).count() == 0
+def test_near_copies_without_ids(spark):
+    unrelated = ["one thing that nobody else says here", "quite another thing said by somebody", "and a third matter of its own kind"]
+    for ids in ([None] * 3, [1, 1, 2], [None, 1, 1]):
+        df = spark.createDataFrame(list(zip(ids, unrelated)), "doc_id long, text string")
+        assert Counter(columns(simhash_dedup.drop_near_copies(df), "doc_id", "text")) == Counter(zip(ids, unrelated))
+    copies = spark.createDataFrame([(None, "a b c"), (None, "A  b c"), (3, "a b c"), (3, "a b c")], "doc_id long, text string")
+    assert columns(simhash_dedup.drop_near_copies(copies), "doc_id") == [(3,)]
 
 
 # Exact copies
