@@ -27,9 +27,10 @@ similarity 0.8 a pair shares none with a chance of (1 - 0.8**5)**20 = 0.0004.
 All nodes of a bucket are first compared with its leader, twice with different
 leaders, so a large group of near copies costs its size and not its square.
 In buckets that are not one component by then the index finds the pairs
-within the radius whose nodes are not connected yet; buckets of more than
-``MOST`` nodes are joined by Spark instead, which may split them. Pairs left
-out are connected already, so components are those of all candidate pairs.
+within the radius whose nodes are not connected yet, and their sets, which come
+along, are compared at once: only links leave the task. Large buckets are dealt
+in blocks (``_searched``). Pairs left out are connected already, so components
+are those of all candidate pairs.
 
 Defined results: a null, empty or blank text has fingerprint 0 and is linked
 like any other, and its set is empty, like any other's of its kind; a text of
@@ -63,6 +64,8 @@ SEED = 42
 MOST = 65_536
 #: Fingerprints that one node of the index holds.
 LEAF = 8
+#: Shingles of a bucket that are held at once.
+BLOCK = 1 << 20
 _CHUNK = 1 << 16
 
 
@@ -282,31 +285,94 @@ def bucket_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
     return np.concatenate([np.empty(0, dtype=np.int64), *left]), np.concatenate([np.empty(0, dtype=np.int64), *right])
 
 
-def _searched(members: DataFrame, similar: float, radius: int) -> DataFrame:
-    """(u, v) of different roots and like sizes within ``radius`` bits in a bucket, by the index of each bucket."""
-    schema = "u long, v long"
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def similar_pairs(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """Whether the sets at places ``a`` and ``b``, none of them empty, are similar enough, by exact counts of what they share."""
+    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    size = np.array([len(sets[i]) for i in used], dtype=np.int64)
+    start = np.cumsum(size) - size
+    values, member = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    out, here = np.zeros(len(a), dtype=bool), np.zeros(len(values), dtype=bool)
+    order = np.argsort(a, kind="stable")
+    cuts = np.flatnonzero(np.diff(a[order])) + 1
+    for part in np.split(order, cuts):
+        u, vs = a[part[0]], b[part]
+        own = member[start[u] : start[u] + size[u]]
+        here[own] = True
+        both = np.add.reduceat(here[member[_ranges(start[vs], size[vs])]], np.cumsum(size[vs]) - size[vs], dtype=np.int64)
+        out[part] = both >= similar * (size[u] + size[vs] - both)
+        here[own] = False
+    return out
+
+
+def _searched(open_: DataFrame, sets: DataFrame, similar: float, radius: int, block: int) -> DataFrame:
+    """(u, v): the similar pairs of different roots in each bucket, found by the bucket's index and compared where they are found.
+
+    A bucket whose sets hold more than ``block`` shingles is dealt into blocks,
+    and each two blocks are a group of their own: what a task holds is bounded,
+    no bucket is left out, and a node is sent once for each block, not for each
+    partner. A pair is compared in the first bucket that it shares only.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / block)).cast("int")
+    dealt = open_.withColumn("own", F.pmod(F.xxhash64("code", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "code", "fp", "size", "root")
+    full = dealt.join(sets, "code").select("key", "lo", "hi", "own", "code", "fp", "size", "root", "bands", "members")
+    group = ["key", "lo", "hi"]
 
     def pairs(batch: pd.DataFrame) -> pd.DataFrame:
-        a, b = bucket_pairs(batch["key"].to_numpy(), batch["fp"].to_numpy(), radius)
-        code, size, root = (batch[c].to_numpy() for c in ("code", "size", "root"))
+        own, code, fp, size, root, key = (batch[c].to_numpy() for c in ("own", "code", "fp", "size", "root", "key"))
+        a, b = bucket_pairs(np.cumsum(_changes(batch)), fp, radius)
         keep = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similar * np.maximum(size[a], size[b]))
-        a, b = code[a[keep]], code[b[keep]]
+        keep &= (own[a] != own[b]) | (batch["lo"].to_numpy() == batch["hi"].to_numpy())[a]
+        a, b = a[keep], b[keep]
+        if len(a):
+            bands = np.stack(batch["bands"].to_list())
+            first = (bands[a] == bands[b]).argmax(axis=1)
+            keep = bands[a, first] == key[a]
+            a, b = a[keep], b[keep]
+        if len(a):
+            keep = similar_pairs(a, b, batch["members"].to_list(), similar)
+            a, b = a[keep], b[keep]
+        a, b = code[a], code[b]
         return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)})
 
+    def _changes(batch: pd.DataFrame) -> np.ndarray:
+        keys = batch[group].to_numpy(dtype=np.int64)
+        return np.concatenate([np.zeros(min(1, len(keys)), dtype=bool), np.any(keys[1:] != keys[:-1], axis=1)])
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = batch["key"].to_numpy() == batch["key"].iloc[-1] if len(batch) else np.zeros(0, dtype=bool)
-            held = batch[last]
-            yield pairs(batch[~last])
+            # The last group may go on in the next batch.
+            starts = np.flatnonzero(_changes(batch))
+            cut = starts[-1] if len(starts) else 0
+            held = batch.iloc[cut:]
+            yield pairs(batch.iloc[:cut])
         if held is not None:
             yield pairs(held)
 
-    return members.repartition("key").sortWithinPartitions("key").mapInPandas(search, schema)
+    return full.repartition(*group).sortWithinPartitions(*group).mapInPandas(search, "u long, v long")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(code, bands, members) of (code, text)."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(t, shingle) for t in batch["text"]]
+            yield pd.DataFrame({"code": batch["code"], "bands": [band_keys(s) for s in found], "members": [s.view(np.int64) for s in found]})
+
+    return texts.select("code", "text").mapInPandas(each, "code long, bands array<long>, members array<long>")
 
 
-def _similar_groups(rows: DataFrame, shingle: int, similar: float, radius: int, most: int) -> DataFrame:
+def _similar_groups(rows: DataFrame, shingle: int, similar: float, radius: int, block: int) -> DataFrame:
     """(row, code, root) for each row of ``rows`` (row, text)."""
     prints = materialize(_set_prints(rows, shingle))
     nodes = materialize(prints.groupBy("code").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
@@ -320,24 +386,21 @@ def _similar_groups(rows: DataFrame, shingle: int, similar: float, radius: int,
     for turn in range(3):
         placed = members.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
         lead = F.min(F.struct(F.xxhash64("code", F.lit(turn)), "code", "fp", "size", "root")).alias("lead")
-        split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), lead).where("x != y")
+        split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.sum("size").alias("total"), lead).where("x != y")
         if turn < 2:
             leaders = split.select("key", F.col("lead.code").alias("u"), F.col("lead.fp").alias("other_fp"), F.col("lead.size").alias("other"), F.col("lead.root").alias("top"))
             found = placed.join(leaders, "key").where("root != top").where(near).select(F.least("u", "code").alias("u"), F.greatest("u", "code").alias("v"))
+            more = _verified(materialize(found.distinct()), texts, shingle, similar)
         else:
-            open_ = materialize(placed.join(split.select("key", "n"), "key"))
-            found = _searched(open_.where(F.col("n") <= most), similar, radius)
-            full = open_.where(F.col("n") > most)
-            other = full.select("key", F.col("code").alias("u"), F.col("fp").alias("other_fp"), F.col("size").alias("other"), F.col("root").alias("top"))
-            found = found.union(full.join(other, "key").where("root != top AND u < code").where(near).select("u", F.col("code").alias("v")))
-        found = materialize(found.distinct())
-        more = _verified(found, texts, shingle, similar)
+            open_ = materialize(placed.join(split.select("key", "total"), "key"))
+            sets = materialize(_sets(texts.join(open_.select("code").distinct(), "code", "left_semi"), shingle))
+            more = materialize(_searched(open_, sets, similar, radius, block).distinct())
         links = more if links is None else links.union(more)
         roots = connected_components(links)
     return prints.join(roots.withColumnRenamed("node", "code"), "code", "left").select("row", "code", F.coalesce("root", "code").alias("root"))
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similar: float = SIMILAR, radius: int = SIMILAR_RADIUS, most: int = MOST) -> DataFrame:
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similar: float = SIMILAR, radius: int = SIMILAR_RADIUS, block: int = BLOCK) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: one of each group of similar texts, the one with the smallest id.
 
     Rows without an id stay only in groups without any; of rows that repeat
@@ -346,7 +409,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Written once, so that row numbers hold for all that follows.
     rows = materialize(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")))
     text = F.col("all")[text_col].alias("text")
-    groups = _similar_groups(rows.select("row", text), shingle, similar, radius, most)
+    groups = _similar_groups(rows.select("row", text), shingle, similar, radius, block)
     keys = rows.select("row", "id", F.xxhash64(F.col("all")[text_col]).alias("tie"))
     # The least of a group is combined in each task before the shuffle, so a large group is a row for each task.
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "code", "tie", "row")).alias("first")

@@ -187,17 +187,17 @@ def family(rng, count, words=300, edits=(1, 3, 4, 6, 12, 20)):
         yield " ".join(own)
 
 
-@pytest.mark.parametrize("most", [65_536, 4])
-def test_similar_texts_against_brute_force(spark, documents, most):
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_similar_texts_against_brute_force(spark, documents, block):
     rng = random.Random(8)
     texts = {r["doc_id"]: r["text"] for r in documents.select("doc_id", "text").collect()}
-    for n, words in enumerate((300, 60, 1000)):
-        texts |= {10_000 * (n + 1) + i: t for i, t in enumerate(family(rng, 40, words))}
+    for n, (words, edits) in enumerate([(300, (1, 3, 4, 6, 12, 20)), (60, (1, 2, 3)), (1000, (1, 3, 9, 20)), (200, (4, 5, 6, 7))]):
+        texts |= {10_000 * (n + 1) + i: t for i, t in enumerate(family(rng, 40, words, edits))}
     pairs, groups = brute_near(texts)
     bits = lambda a, b: bin(brute_fingerprint(texts[a]) ^ brute_fingerprint(texts[b])).count("1")
     assert any(bits(a, b) > 2 for a, b in pairs) and len(set(groups.values())) < len(texts) - 60
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash_dedup.drop_near_copies(df, most=most).collect()} == set(groups.values())
+    assert {r["doc_id"] for r in simhash_dedup.drop_near_copies(df, block=block).collect()} == set(groups.values())
 
 
 def test_bucket_pairs():
