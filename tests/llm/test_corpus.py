@@ -257,7 +257,19 @@ def test_drop_copies_keeps_columns(spark, hard):
     kept = exact_dedup.drop_copies(hard)
     assert kept.columns == hard.columns
     # The longest originals of both groups of copies are rows without an id.
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, None, 4, 5, 6])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, None, 4, 5, 6, (1 << 53) + 1])
+    texts = {r["doc_id"]: r for r in hard.where("doc_id > 3").collect()}
+    assert {r["doc_id"]: r for r in kept.where("doc_id > 3").collect()} == texts
+    assert exact_dedup.drop_copies(hard.limit(0)).count() == 0 and exact_dedup.exact_groups(hard.limit(0)).count() == 0
+
+
+def test_hot_copies_without_ids(spark):
+    rows = [(None, "same text")] * 50 + [(7, "same  text")] * 20 + [(8, "other")] * 3 + [(9, "Same text")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, __n int")
+    got = exact_dedup.exact_groups(df, salts=4, hot_fraction=0.1).collect()
+    assert Counter((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == Counter([(None, 7, 70, False)] * 50 + [(7, 7, 70, False)] * 19 + [(7, 7, 70, True), (8, 8, 3, True)] + [(8, 8, 3, False)] * 2 + [(9, 9, 1, True)])
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and sorted(columns(kept, "doc_id", "text")) == [(7, "same  text"), (8, "other"), (9, "Same text")]
 
 
 # Secrets
