@@ -24,10 +24,13 @@ then settle the suffixes between samples by what lies before the sample.
    that is settled already. Names that occur twice are repeats.
 
 Counts are partial before each shuffle, so a passage in a third of all
-documents is one row for each task; joins have small keys that Spark may
-split. Nothing is collected.
+documents is one row for each task; they are written before they are joined,
+so Spark may split a hot key of a join. Nothing is collected.
 
-Names are 64-bit polynomial hashes over random byte values.
+Names are 64-bit polynomial hashes over random byte values. A name of a sample
+only chooses what is looked at; what is removed agrees in two such names, the
+sample's and the gap's or string's, so two strings are taken for equal by
+chance only within the n strings of one sample, at n^2 / 2^65.
 
 Defined results: a null text is empty and has no bytes; a text shorter than
 ``min_len`` bytes loses none. Rows that repeat an id are different places, so
@@ -48,6 +51,7 @@ from pyspark.sql import functions as F
 from netweave.llm.common import materialize, shared_dir, table, whole
 
 MIN_LEN = 200
+BUCKET_BYTES = 128 << 20
 _BASE = 0x9E3779B97F4A7C15
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -162,14 +166,22 @@ def kept_bytes(data: bytes, runs: np.ndarray) -> bytes:
 
 
 def bucketed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, data): the texts, written once in the shared folder in buckets by row number, so that later joins by row move no text."""
+    """(row, id, data): the texts, written once in the shared folder in buckets by row number, so that later joins by row move no text.
+
+    Buckets follow the size of the texts, as nothing can split them later. The
+    catalog's entry goes at once; what is returned keeps the files' layout.
+    """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
     name = f"netweave_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/netweave-{spark.sparkContext.applicationId}/{name}"
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), whole(text_col).cast("binary").alias("data"))
     rows.write.option("path", path).option("compression", "zstd").bucketBy(n, "row").saveAsTable(name)
-    return spark.table(name)
+    texts = spark.table(name)
+    # The table has a path of its own, so this drops its name and leaves its files.
+    spark.sql(f"DROP TABLE {name}")
+    return texts
 
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN) -> DataFrame:
@@ -189,15 +201,16 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     def strings(data: bytes, roles):
         sums = hasher().sums(data)
-        low, high, asks = (np.fromiter((r[k] for r in roles), dtype=np.int64, count=len(roles)) for k in ("low", "high", "asks"))
+        name, low, high, asks = (np.fromiter((r[k] for r in roles), dtype=np.int64, count=len(roles)) for k in ("name", "low", "high", "asks"))
         sizes = high - low + 1
         starts = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        return hasher().names(sums, starts, starts + min_len), np.where(np.repeat(asks, sizes) > 0, starts, -1).astype(np.int32)
+        return np.repeat(name, sizes), hasher().names(sums, starts, starts + min_len), np.where(np.repeat(asks, sizes) > 0, starts, -1).astype(np.int32)
 
     # 1. Samples whose name repeats.
     names = _arrays(long_ones.select("row", "data"), named, "name array<long>, nth array<int>")
     names = names.select("row", F.explode(F.arrays_zip("name", "nth")).alias("s")).select("row", F.col("s.name").alias("name"), F.col("s.nth").alias("nth"))
-    twice = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # Counts are written before they are joined, so that Spark may split a hot name in the join.
+    twice = materialize(names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     flagged = materialize(names.join(twice, "name").groupBy("row").agg(F.collect_list("nth").alias("flags")))
 
     # 2. Gaps whose name repeats.
@@ -206,16 +219,17 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     found = materialize(found)
     kinds = materialize(found.groupBy("name", "gap").agg(F.count("*").alias("n"), F.min(F.struct("row", "low")).alias("copy")))
     mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("kinds > 1 AND single > 0").select("name", F.lit(True).alias("mixed"))
+    mixed = materialize(mixed)
     roles = found.join(kinds, ["name", "gap"]).join(mixed, "name", "left")
     role = F.when(F.col("n") == 1, F.when(F.col("mixed"), F.lit(1)).otherwise(F.lit(-1))).otherwise(F.when(F.col("mixed") & (F.col("copy.row") == F.col("row")) & (F.col("copy.low") == F.col("low")), F.lit(0)).otherwise(F.lit(2)))
-    roles = materialize(roles.select("row", "low", "high", (F.col("n") > 1).alias("settled"), role.alias("asks")).where("asks >= 0"))
+    roles = materialize(roles.select("row", "name", "low", "high", (F.col("n") > 1).alias("settled"), role.alias("asks")).where("asks >= 0"))
 
     # 3. Single strings at the edges.
-    named_one_by_one = roles.where("asks < 2").groupBy("row").agg(F.collect_list(F.struct("low", "high", "asks")).alias("roles"))
-    single = _arrays(texts.select("row", "data").join(named_one_by_one, "row"), strings, "name array<long>, start array<int>")
-    single = single.select("row", F.explode(F.arrays_zip("name", "start")).alias("s")).select("row", F.col("s.name").alias("name"), F.col("s.start").alias("start"))
-    again = single.groupBy("name").agg(F.count("*").alias("n"), F.max("start").alias("asked")).where("n > 1 AND asked >= 0").select("name")
-    edges = single.where("start >= 0").join(again, "name").select("row", F.col("start").alias("low"), F.col("start").alias("high"))
+    named_one_by_one = roles.where("asks < 2").groupBy("row").agg(F.collect_list(F.struct("name", "low", "high", "asks")).alias("roles"))
+    single = _arrays(texts.select("row", "data").join(named_one_by_one, "row"), strings, "name array<long>, string array<long>, start array<int>")
+    single = single.select("row", F.explode(F.arrays_zip("name", "string", "start")).alias("s")).select("row", "s.*")
+    again = single.groupBy("name", "string").agg(F.count("*").alias("n"), F.max("start").alias("asked")).where("n > 1 AND asked >= 0").select("name", "string")
+    edges = single.where("start >= 0").join(materialize(again), ["name", "string"]).select("row", F.col("start").alias("low"), F.col("start").alias("high"))
 
     # 4. What goes.
     spans = materialize(roles.where("settled").select("row", "low", "high").union(edges).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans")))

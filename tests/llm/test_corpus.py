@@ -427,6 +427,18 @@ def test_repeats(spark, n):
     assert [got[i] for i in [*range(40), 100]] == want
 
 
+def test_repeats_hard_rows(spark, hard):
+    rows = hard.select("doc_id", "text").collect()
+    want = brute_repeats([(r["text"] or "")[:4000].encode() for r in rows], 200)
+    short = spark.createDataFrame([(r["doc_id"], r["text"] and r["text"][:4000], "n", "x") for r in rows], "doc_id long, text string, name string, data string")
+    assert Counter(tuple(r) for r in substring_dedup.repeats(short).collect()) == Counter((r["doc_id"], *w) for r, w in zip(rows, want))
+    # Whole long texts: one period of five words, over and over.
+    got = {r["id"]: tuple(r)[1:4] for r in substring_dedup.repeats(hard).collect()}
+    assert got[4] == (180_000, 180_000, 1) and got[5] == (180_001, 180_000, 1)
+    tables = len(spark.catalog.listTables())
+    assert substring_dedup.repeats(hard.limit(0)).count() == 0 and len(spark.catalog.listTables()) == tables == 0
+
+
 def test_cut_repeats_gives_bytes_and_spans(spark):
     rng = random.Random(3)
     same = "é" + "".join(rng.choice("abcdef") for _ in range(60))
