@@ -44,7 +44,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +52,8 @@ from netweave.llm.common import materialize, shared_dir, table, whole
 
 MIN_LEN = 200
 BUCKET_BYTES = 128 << 20
+#: Rows that a task gathers before it sends them.
+_HELD = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -126,24 +128,35 @@ def sample(data: bytes, min_len: int = MIN_LEN) -> tuple[np.ndarray, np.ndarray,
     return sums, own.names(sums, chosen, chosen + named), low, high
 
 
-def _arrays(df: DataFrame, step, schema: str) -> DataFrame:
-    """Run ``step(text bytes, *other columns)`` on each row; the first column is passed on as ``row``."""
-    names = [c for c in df.columns if c not in ("row", "data")]
-    out_names = [x.strip().split(" ")[0] for x in schema.split(",")]
+def _lists(column: pa.Array) -> list:
+    """The numpy arrays of a list column, for each row: of a list of structs, a tuple with one array for each field."""
+    if not isinstance(column, pa.ListArray):
+        return column.to_pylist()
+    ends, values = column.offsets.to_numpy(), column.values
+    fields = [f.to_numpy(zero_copy_only=False) for f in values.flatten()] if pa.types.is_struct(values.type) else [values.to_numpy(zero_copy_only=False)]
+    rows = [tuple(f[x:y] for f in fields) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return rows if len(fields) > 1 else [r[0] for r in rows]
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _flat(df: DataFrame, step, schema: str) -> DataFrame:
+    """Run ``step(text bytes, *other columns)`` on each row; it returns arrays of one length, which become rows beside ``row``."""
+    others = [c for c in df.columns if c not in ("row", "data")]
+    names = ["row", *(x.strip().split(" ")[0] for x in schema.split(","))]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, size = [], 0
-            for row, data, *rest in zip(batch["row"], batch["data"], *(batch[c] for c in names), strict=True):
-                out = step(bytes(data), *rest)
-                rows.append((row, *out))
-                size += len(out[0]) if isinstance(out[0], np.ndarray) else 1
-                if size > 1 << 20:
-                    yield pd.DataFrame(rows, columns=["row", *out_names])
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["row", *out_names])
+            data, found, size = batch.column("data"), [], 0
+            numbers = batch.column("row").to_numpy()
+            columns = [_lists(batch.column(c)) for c in others]
+            for i in range(batch.num_rows):
+                out = step(data[i].as_buffer(), *(c[i] for c in columns))
+                found.append((np.full(len(out[0]), numbers[i]), *out))
+                size += len(out[0])
+                if size > _HELD or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
+                    found, size = [], 0
 
-    return df.mapInPandas(each, f"row long, {schema}")
+    return df.mapInArrow(each, f"row long, {schema}")
 
 
 def maximal(spans: np.ndarray) -> np.ndarray:
@@ -189,34 +202,31 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     texts = bucketed(df, id_col, text_col)
     long_ones = texts.where(F.octet_length("data") >= min_len)
 
-    def named(data: bytes):
+    def named(data):
         names = sample(data, min_len)[1]
         return names, np.arange(len(names), dtype=np.int32)
 
-    def gaps(data: bytes, flags):
+    def gaps(data, flags):
         sums, names, low, high = sample(data, min_len)
-        at = np.sort(np.asarray(flags, dtype=np.int64))
+        at = np.sort(flags).astype(np.int64)
         low, high = low[at], high[at]
         return names[at], hasher().names(sums, low, high + min_len), low.astype(np.int32), high.astype(np.int32)
 
-    def strings(data: bytes, roles):
+    def strings(data, roles):
         sums = hasher().sums(data)
-        name, low, high, asks = (np.fromiter((r[k] for r in roles), dtype=np.int64, count=len(roles)) for k in ("name", "low", "high", "asks"))
+        name, low, high, asks = (x.astype(np.int64) for x in roles)
         sizes = high - low + 1
         starts = np.repeat(low - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         return np.repeat(name, sizes), hasher().names(sums, starts, starts + min_len), np.where(np.repeat(asks, sizes) > 0, starts, -1).astype(np.int32)
 
     # 1. Samples whose name repeats.
-    names = _arrays(long_ones.select("row", "data"), named, "name array<long>, nth array<int>")
-    names = names.select("row", F.explode(F.arrays_zip("name", "nth")).alias("s")).select("row", F.col("s.name").alias("name"), F.col("s.nth").alias("nth"))
+    names = _flat(long_ones.select("row", "data"), named, "name long, nth int")
     # Counts are written before they are joined, so that Spark may split a hot name in the join.
     twice = materialize(names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     flagged = materialize(names.join(twice, "name").groupBy("row").agg(F.collect_list("nth").alias("flags")))
 
     # 2. Gaps whose name repeats.
-    found = _arrays(long_ones.select("row", "data").join(flagged, "row"), gaps, "name array<long>, gap array<long>, low array<int>, high array<int>")
-    found = found.select("row", F.explode(F.arrays_zip("name", "gap", "low", "high")).alias("g")).select("row", "g.*")
-    found = materialize(found)
+    found = materialize(_flat(long_ones.select("row", "data").join(flagged, "row"), gaps, "name long, gap long, low int, high int"))
     kinds = materialize(found.groupBy("name", "gap").agg(F.count("*").alias("n"), F.min(F.struct("row", "low")).alias("copy")))
     mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("kinds > 1 AND single > 0").select("name", F.lit(True).alias("mixed"))
     mixed = materialize(mixed)
@@ -226,27 +236,29 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     # 3. Single strings at the edges.
     named_one_by_one = roles.where("asks < 2").groupBy("row").agg(F.collect_list(F.struct("name", "low", "high", "asks")).alias("roles"))
-    single = _arrays(texts.select("row", "data").join(named_one_by_one, "row"), strings, "name array<long>, string array<long>, start array<int>")
-    single = single.select("row", F.explode(F.arrays_zip("name", "string", "start")).alias("s")).select("row", "s.*")
+    single = _flat(texts.select("row", "data").join(named_one_by_one, "row"), strings, "name long, string long, start int")
     again = single.groupBy("name", "string").agg(F.count("*").alias("n"), F.max("start").alias("asked")).where("n > 1 AND asked >= 0").select("name", "string")
     edges = single.where("start >= 0").join(materialize(again), ["name", "string"]).select("row", F.col("start").alias("low"), F.col("start").alias("high"))
 
     # 4. What goes.
     spans = materialize(roles.where("settled").select("row", "low", "high").union(edges).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            for at in range(0, len(whole_batch), 256):
-                batch = whole_batch.iloc[at : at + 256]
-                runs = [maximal(np.array([(r["low"], r["high"] + min_len) for r in x], dtype=np.int64).reshape(-1, 2)) if x is not None else np.empty((0, 2), dtype=np.int64) for x in batch["spans"]]
-                kept = [kept_bytes(bytes(d), r) for d, r in zip(batch["data"], runs, strict=True)]
-                yield pd.DataFrame({"id": batch["id"].to_numpy(), "n_bytes": [len(d) for d in batch["data"]], "starts": [r[:, 0] for r in runs], "ends": [r[:, 1] for r in runs], "kept": kept})
-
-    # Ids travel as strings, so that nulls among them cannot turn integers into floats.
-    rows = texts.join(spans, "row", "left").select(F.col("id").cast("string").alias("id"), "data", "spans")
-    out = rows.mapInPandas(cut, "id string, n_bytes long, starts array<long>, ends array<long>, kept binary")
-    pairs = F.zip_with("starts", "ends", lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    return out.select(F.col("id").cast(dict(texts.dtypes)["id"]).alias("id"), "n_bytes", pairs.alias("spans"), "kept")
+            for at in range(0, whole_batch.num_rows, 256):
+                batch = whole_batch.slice(at, 256)
+                data, found = batch.column("data"), pa.concat_arrays([batch.column("spans")])
+                texts_ = [data[i].as_py() for i in range(batch.num_rows)]
+                runs = [maximal(np.stack([low, high + min_len], axis=1).astype(np.int64)) for low, high in _lists(found)]
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in runs])]), pa.int32())
+                bounds = np.concatenate(runs)
+                pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(bounds[:, 0])), pa.array(np.ascontiguousarray(bounds[:, 1]))], names=["start", "end"])
+                kept = pa.array([kept_bytes(d, r) if len(r) else d for d, r in zip(texts_, runs, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(d) for d in texts_], pa.int64()), pa.ListArray.from_arrays(ends, pairs), kept], names=["id", "n_bytes", "spans", "kept"])
+
+    none = F.expr("cast(array() as array<struct<low:int,high:int>>)")
+    rows = texts.join(spans, "row", "left").select("id", "data", F.coalesce("spans", none).alias("spans"))
+    return rows.mapInArrow(cut, f"id {dict(texts.dtypes)['id']}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN) -> DataFrame:
