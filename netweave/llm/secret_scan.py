@@ -16,6 +16,9 @@ and the matches themselves give each match's place, in code points.
 Defined results: a null text counts as empty, has no spans, and stays null
 when masked. Rows that repeat an id share postings (which can only add
 candidates) and each get their own spans. A null id is an id like any other.
+Texts of any length are scanned whole, in time that hardly grows faster than
+their spans; columns of any name are carried as they are. A table without rows
+gives none.
 """
 
 from __future__ import annotations
@@ -59,6 +62,8 @@ MORE = (
 )
 RULES = BASE + MORE
 _MANY = 24
+#: Spans that are folded at once.
+BLOCK = 128
 
 
 def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
@@ -150,8 +155,19 @@ def candidates(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...
     return met.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _blocks(items: Column, size: int = BLOCK) -> Column:
+    """An array cut into arrays of ``size`` items: a fold over all of them copies what it has gathered once for each block only."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, F.lit(size)))).otherwise(F.array(items))
+
+
+def _before(values: Column, step) -> Column:
+    """What ``step`` makes, from 0, of all values before each one."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(values, start, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+
 def _spans(text: Column, rule: Rule) -> Column:
-    """Places of the rule's matches that are long enough: array of (start, kind number, kind, end)."""
+    """Places of the rule's matches that are long enough: array of (start, size, end)."""
     between, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     measured = hits if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     empty = F.expr("cast(array() as array<struct<start:int,size:int,end:int>>)")
@@ -165,7 +181,11 @@ def _spans(text: Column, rule: Rule) -> Column:
 
     sizes = lambda a: F.transform(a, lambda x: F.char_length(x))
     zipped = F.arrays_zip(F.slice(sizes(between), 1, F.greatest(F.size(hits), F.lit(0))).alias("gap"), sizes(hits).alias("size"), sizes(measured).alias("measured"))
-    return F.aggregate(zipped, start, step)["found"]
+    # Each block from 0 first, then moved behind the blocks before it.
+    blocks = F.transform(_blocks(zipped), lambda block: F.aggregate(block, start, step))
+    moved = lambda block, by: F.transform(block["found"], lambda s: F.struct((s["start"] + by).alias("start"), s["size"].alias("size"), (s["end"] + by).alias("end")))
+    placed = F.transform(F.array(blocks), lambda x: F.zip_with(x, _before(F.transform(x, lambda b: b["at"]), lambda at, size: at + size), moved))
+    return F.flatten(F.element_at(placed, 1))
 
 
 def _ranked(rank: int, kind: str):
@@ -173,21 +193,27 @@ def _ranked(rank: int, kind: str):
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with ``spans``: array of (start, rank, kind, end) by start, then rule order."""
+    """``df`` with ``spans``: array of (start, rank, kind, end) by start, then rule order. A column ``spans`` of ``df`` is replaced."""
+    found = _found(df, id_col, text_col, rules)
+    return found.select(*[F.col("all")[c].alias(c) for c in df.columns if c != "spans"], "spans")
+
+
+def _found(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(all, text, spans): the rows as they are, their texts and their spans."""
     scanned = {r.kind for r in rules if not trigram_query(r.pattern)}
-    found = candidates(df, id_col, text_col, rules).withColumnRenamed("id", "__id")
-    rows = df.withColumn("__own", F.col(id_col))
-    rows = rows.join(found, rows["__own"].eqNullSafe(found["__id"]), "left").drop("__id", "__own")
+    found = candidates(df, id_col, text_col, rules)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+    rows = rows.join(found, rows["own"].eqNullSafe(found["id"]), "left").drop("own", "id")
     kind_type = "array<struct<start:int,rank:int,kind:string,end:int>>"
     parts = []
     for n, rule in enumerate(rules):
         # The unfiltered pattern decides where matches begin; only for patterns that are one maximal run may short runs be passed over.
         used = Rule(rule.kind, rule.pattern[:-1] + "{%d,}" % rule.least, 0, rule.least) if rule.pattern == "[0-9a-f]+" else rule
         wanted = F.lit(True) if rule.kind in scanned else F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
-        wanted = wanted & (F.regexp_instr(F.col(text_col), F.lit(used.pattern)) > 0) if rule.kind in scanned else wanted
-        spans = F.transform(_spans(F.col(text_col), used), _ranked(n, rule.kind))
-        parts.append(F.when(wanted & F.col(text_col).isNotNull(), spans).otherwise(F.expr(f"cast(array() as {kind_type})")))
-    return rows.withColumn("spans", F.array_sort(F.concat(*parts))).drop("kinds")
+        wanted = wanted & (F.regexp_instr(F.col("text"), F.lit(used.pattern)) > 0) if rule.kind in scanned else wanted
+        spans = F.transform(_spans(F.col("text"), used), _ranked(n, rule.kind))
+        parts.append(F.when(wanted & F.col("text").isNotNull(), spans).otherwise(F.expr(f"cast(array() as {kind_type})")))
+    return rows.select("all", "text", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -196,24 +222,38 @@ def written(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mask: str = "<secret>") -> Column:
-    """The text with each span (overlapping ones as one) replaced by ``mask``; null stays null."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span (overlapping ones as one) replaced by ``mask``; null stays null.
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out")
-        )
+    What lies between spans is taken from the part of the text that its block
+    of spans covers, so a long text is not walked from its start for each.
+    """
+    empty = F.expr("cast(array() as array<struct<from:int,to:int>>)")
+
+    def gaps(block: Column, reach: Column) -> Column:
+        """Where the text between the block's spans lies, one after the other; ``reach`` is the end of all spans before."""
 
-    done = F.aggregate(spans, start, step)
-    return F.when((F.size(spans) == 0) | text.isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.array(F.struct(acc["at"].alias("from"), s["start"].alias("to")))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(reach.alias("at"), empty.alias("out")), step)["out"]
+
+    def written_out(block: Column, reach: Column) -> Column:
+        part = F.substring(text, reach + 1, F.greatest(F.lit(0), F.array_max(F.transform(block, lambda s: s["end"])) - reach))
+        bound = F.transform(F.array(part), lambda p: F.array_join(F.transform(gaps(block, reach), lambda g: F.concat(F.substring(p, g["from"] - reach + 1, g["to"] - g["from"]), F.lit(mask))), ""))
+        return F.element_at(bound, 1)
+
+    ends = lambda blocks: F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+    parts = F.transform(F.array(_blocks(spans)), lambda blocks: F.array_join(F.zip_with(blocks, _before(ends(blocks), F.greatest), written_out), ""))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    done = F.concat(F.element_at(parts, 1), F.substring(text, last + 1, F.char_length(text)))
+    return F.when((F.size(spans) == 0) | text.isNull(), text).otherwise(done)
 
 
 def mask_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows and columns of ``df``, secrets in the text replaced by a mark."""
-    found = find(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")), "__id", "__text", rules)
-    out = found.withColumn("__text", masked(F.col("__text"), F.col("spans")))
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in df.columns])
+    found = _found(df, id_col, text_col, rules)
+    return found.select(*[masked(F.col("text"), F.col("spans")).alias(c) if c == text_col else F.col("all")[c].alias(c) for c in df.columns])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,3 +261,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     number = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
     return rows.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same as DuckDB SQL: what lies between matches, and the matches themselves, give their places."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = []
+    for rank, rule in enumerate(rules):
+        # Runs of hex digits are maximal, so short ones can be left out at once.
+        pattern = quoted("[0-9a-f]{%d,}" % rule.least if rule.pattern == "[0-9a-f]+" else rule.pattern)
+        parts.append(
+            f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, list_transform(string_split_regex(s, {pattern}), lambda x: length(x)) AS gaps, "
+            f"list_transform(regexp_extract_all(s, {pattern}, 0), lambda x: length(x)) AS sizes, list_transform(regexp_extract_all(s, {pattern}, {rule.group}), lambda x: length(x)) AS measured FROM t WHERE regexp_matches(s, {pattern})"
+        )
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents), m AS ({" UNION ALL ".join(parts)}),
+n AS (SELECT *, unnest(range(1, len(sizes) + 1)) AS i FROM m),
+p AS (SELECT doc_id, rank, kind, (list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0))::BIGINT AS start, sizes[i] AS size FROM n WHERE measured[i] >= least),
+w AS (SELECT doc_id, rank, start, kind || ':' || start || ':' || (start + size) AS span FROM p),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM w GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE = oracle()

@@ -307,6 +307,44 @@ def test_more_rules_and_masks(spark, hard):
     assert columns(masked.where("doc_id = 2"), "text") == [(None,)]
 
 
+def test_secret_oracle(spark):
+    c = duckdb.connect()
+    folder = "/root/testdata/sf0.01"
+    c.sql(f"create view documents as from '{folder}/documents.parquet'")
+    want = Counter(c.sql("select doc_id, n_assign, n_access, n_hex, base_sha256, spans from (" + secret_scan.ORACLE + ")").fetchall())
+    got = Counter(tuple(r) for r in secret_scan.op4(spark, folder).collect())
+    assert got == want and sum(r[1] + r[2] + r[3] for r in want) > 10
+
+
+def test_many_spans_in_a_long_text(spark):
+    import time
+
+    rng = random.Random(6)
+    parts = ["token=" + "abcdef"[: rng.randint(1, 6)] + "é" * rng.randint(0, 3) + " 0123456789abcdef01234567 "[: rng.choice([0, 26])] for _ in range(3000)]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secret_scan.find(df, rules=secret_scan.BASE).first()
+    assert [tuple(s) for s in row["spans"]] == brute_spans(text) and len(row["spans"]) > 1000
+    # Places marked one by one, overlapping spans as one.
+    out, at = [], 0
+    for start, _, _, end in brute_spans(text):
+        if start >= at:
+            out += [text[at:start], "<secret>"]
+        at = max(at, end)
+    assert secret_scan.mask_secrets(df, rules=secret_scan.BASE).first()["text"] == "".join([*out, text[at:]])
+    long = spark.createDataFrame([(1, "token=abcdef é " * 40_000)], "doc_id long, text string")
+    began = time.time()
+    assert secret_scan.mask_secrets(long).first()["text"] == "<secret> é " * 40_000
+    assert time.time() - began < 60
+
+
+def test_find_with_clashing_columns(spark, hard):
+    rows = secret_scan.find(hard).collect()
+    assert len(rows) == hard.count() and {r["kinds"] for r in rows} == {"z"}
+    assert secret_scan.find(hard.limit(0)).count() == 0 and secret_scan.mask_secrets(hard.limit(0)).count() == 0
+    assert columns(secret_scan.mask_secrets(hard), "doc_id", "kinds", "spans", "__id", "__n").count((6, "z", "y", "i", 5)) == 1
+
+
 def test_no_key_material_is_left(spark):
     rng = random.Random(5)
     body = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64)) for _ in range(40)]
