@@ -12,18 +12,21 @@ Two kinds of rules decide about a document:
   more than ``MAX_LOSS`` of its words is depleted and rejected. The limit so
   follows the host: small hosts have the floor, large ones the share.
 
-A document sends each of its lines once, with the host in the hash, so a hot
-line or a hot host is summed up before the shuffle and is one row afterwards.
+A document sends each of its lines once, with the host in the hash. Lines and
+documents are dealt by both, so neither a hot line nor a hot host is one task;
+counts are then summed up before the shuffle and are one row for each line.
 Frequent lines go to the documents by a join, which Spark may broadcast only
 by its own size check.
 
 Defined results: a null or empty text has no words and fails. A null host is
-a host of its own. Rows that repeat an id are documents of their own for the
-counts and each get their row.
+a host of its own. Rows that repeat an id are one document for the counts, rows
+without an id one each; every row gets its row. Texts of any length are
+measured whole; a table without rows gives none.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ MAX_LOSS = 0.5
 WINDOW = 3
 _DROP_SYMBOLS = {ord(c): None for c in SYMBOLS}
 _DIGITS = {ord(c): "0" for c in "123456789"}
+_SPACES = {ord(c): " " for c in "\t\x0b\x0c\r"}
+_OTHER = re.compile("[\t\x0b\x0c\r]")
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
@@ -82,10 +87,12 @@ def line_hashes(text: str, host: str | None) -> tuple[list[int], list[int], list
     keys, sizes, starts, ends = [], [], [], []
     known: dict[str, int] = {}
     for line in text.split("\n"):
-        words = line.lower().split()
+        # Words are those of the measures: what lies between the six ASCII white-space characters.
+        words = line.translate(_SPACES).split(" ") if _OTHER.search(line) else line.split(" ")
+        words = [w for w in words if w]
         end = at + len(line) + 1
         if words:
-            norm = " ".join(words).translate(_DIGITS)
+            norm = " ".join(words).lower().translate(_DIGITS)
             if norm not in known:
                 known[norm] = _hashed(prefix + norm)
             keys.append(known[norm])
@@ -155,8 +162,12 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
 
 def _judge(df: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, min_words: int = MIN_WORDS, max_repeated: float = MAX_REPEATED) -> DataFrame:
     described = materialize(describe(df, id_col, text_col, host_col))
-    often = described.select("host", F.explode(F.array_distinct("line")).alias("line")).groupBy("line").agg(F.count("*").alias("docs"), F.first("host").alias("host")).where(F.col("docs") > max_docs)
-    hosts = described.groupBy("host").agg(F.count("*").alias("host_docs"))
+    # A document is its id, so rows that repeat it count once for a line; rows without an id count each.
+    document = F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(1))).otherwise(F.xxhash64(F.col("doc_id").cast("string")))
+    numbered = described.withColumn("document", document)
+    pairs = numbered.select("host", "document", F.explode(F.array_distinct("line")).alias("line")).distinct()
+    often = pairs.groupBy("line").agg(F.count("*").alias("docs"), F.first("host").alias("host")).where(F.col("docs") > max_docs)
+    hosts = numbered.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     often = often.join(hosts, "host").where(F.col("docs") > F.col("host_docs") * max_share).select("line")
     lines = described.select("row", F.explode(F.arrays_zip("line", "line_start", "line_end", "line_words")).alias("l"))
     lines = lines.select("row", F.col("l.line").alias("line"), F.struct(F.col("l.line_start").alias("start"), F.col("l.line_end").alias("end"), F.col("l.line_words").alias("words")).alias("span"))
@@ -171,3 +182,25 @@ def _judge(df: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: i
 def op5(spark, sf_dir) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
+
+
+def oracle(max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_loss: float = MAX_LOSS, min_words: int = MIN_WORDS) -> str:
+    """The same as DuckDB SQL, for windows of three words and repeated words of at most half."""
+    word, space = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
+    return rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS s FROM documents),
+w AS (SELECT doc_id, source, s, regexp_extract_all(s, '{word}') AS ws, string_split(s, chr(10)) AS ls FROM t),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM g WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, source, unnest(ls) AS line FROM w),
+k AS (SELECT doc_id, source, len(regexp_extract_all(line, '{word}')) AS n, regexp_replace(trim(regexp_replace(lower(line), '{space}+', ' ', 'g')), '[1-9]', '0', 'g') AS norm, line FROM l WHERE regexp_matches(line, '{word}')),
+d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM k GROUP BY doc_id),
+h AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source),
+o AS (SELECT k.source, norm, count(DISTINCT doc_id) AS docs FROM k GROUP BY k.source, norm HAVING count(DISTINCT doc_id) > {max_docs}),
+f AS (SELECT o.source, norm FROM o JOIN h ON o.source IS NOT DISTINCT FROM h.source WHERE o.docs > h.docs * {max_share}),
+x AS (SELECT k.doc_id, sum(n)::BIGINT AS lost FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source AND k.norm = f.norm GROUP BY k.doc_id),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(s, '{space}', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(s, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS words_removed FROM w LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id))
+SELECT *, n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words) AND words_removed <= n_words * {max_loss} AS kept FROM m"""
+
+
+ORACLE = oracle()

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_language_id": language_id.op10,
 }
 
-ORACLES = {"op4_secret_scan": secret_scan.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op4_secret_scan": secret_scan.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}

@@ -411,6 +411,24 @@ def test_quality_production_limit(spark):
     assert sum(r["words_removed"] > 0 for r in rows) == 111
 
 
+def test_quality_oracle(spark):
+    c = duckdb.connect()
+    folder = "/root/testdata/sf0.01"
+    c.sql(f"create view documents as from '{folder}/documents.parquet'")
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept words_removed".split()
+    want = Counter(c.sql(f"select {', '.join(names)} from (" + quality_rules.ORACLE + ")").fetchall())
+    assert Counter(columns(quality_rules.op5(spark, folder), *names)) == want
+
+
+def test_quality_counts_documents_once(spark):
+    own = lambda i: " ".join(f"w{'abcdefghij'[i]}{'abcdefgh'[k % 8] * (k + 1)}" for k in range(60))
+    rows = [(1, "A\u00a0line\n" + own(0), "h")] * 8 + [(2, "A\u00a0line\n" + own(1), "h")] + [(None, f"Other line\n{own(i + 2)}", "h") for i in range(7)]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    # One id is one document however often it is repeated; a space that is not one of the six is part of a word.
+    assert sorted((r["doc_id"] or 0, r["words_removed"]) for r in got) == [(0, 2)] * 7 + [(1, 0)] * 8 + [(2, 0)]
+    assert {r["n_words"] for r in got if r["doc_id"]} == {61}
+
+
 def test_quality_hard_rows(spark, hard):
     rows = quality_rules.judge(hard).collect()
     assert len(rows) == hard.count() and all(r["base_failed"] for r in rows if r["doc_id"] in (2, 3))
