@@ -58,19 +58,18 @@ def inline_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFram
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
 
 
-def bounded_sample(keys: DataFrame, key: str, group: str, most: int, max_groups: int = 200) -> DataFrame:
-    """At most ``most`` keys of each of the ``max_groups`` largest groups, the first by a hash of the key.
+def bounded_sample(keys: DataFrame, key: str, group: str, most: Column | int) -> DataFrame:
+    """At most ``most`` keys of each group, the first by a hash of the key; ``keys`` holds each key once for a group.
 
     Counts give each group a bound on the hash that leaves about one and a
-    half times ``most`` keys, so what is then ranked in one task for each group
-    is of that size, however many keys there are.
+    half times ``most`` keys and 40 more, so what is then ranked in one task for each group
+    is of that size, however many keys there are. Null groups are left out.
     """
-    counts = keys.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(max_groups).collect()
+    most = F.lit(most) if isinstance(most, int) else most
+    keys = keys.where(F.col(group).isNotNull())
     span = 1 << 40
-    bound = F.lit(-1).cast("long")
-    for r in counts:
-        share = 1.0 if r["count"] <= 2 * most else 1.5 * most / r["count"]
-        bound = F.when(F.col(group) == F.lit(r[group]), F.lit(int(share * span)).cast("long")).otherwise(bound)
-    rows = keys.withColumn("__hash", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(span)))
+    counts = keys.groupBy(group).agg(F.count("*").alias("__count"))
+    rows = keys.join(counts, group).withColumn("__hash", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(span)))
+    rows = rows.where(F.col("__hash") < (1.5 * most + 40) / F.col("__count") * span)
     first = Window.partitionBy(group).orderBy("__hash", key)
-    return rows.where(F.col("__hash") < bound).withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= most).select(key, group)
+    return rows.withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") <= most).select(key, group)

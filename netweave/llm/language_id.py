@@ -8,13 +8,16 @@ of kernel values; one-versus-rest kernel ridge regression is solved in that
 space and texts are scored by batched products
 ``presence @ landmarks.T`` and ``kernel @ weights``.
 
-Learned from a bounded sample: ``PER_LANG`` texts for each language, the first
-by a hash of the id, of rows whose crc32(id) mod 4 is not 2 and whose language
-is known. Scoring covers whole texts of all rows and sees the text alone.
+Learned from a bounded sample: ``PER_LANG`` texts for each language (fewer from
+the 201st language on, so that all are ``TEXTS`` at most, but one at least), the
+first by a hash of the id, of rows whose crc32(id) mod 4 is not 2 and whose
+language is known. No language is left out. Scoring covers whole texts of all
+rows and sees the text alone.
 
 Defined results: ``und`` and score 0 for a null text or one without a letter.
 The score is a softmax of the ridge outputs. Without any labelled row every
-text is ``und``.
+text is ``und``. Rows that repeat an id each get their row; for training the
+least text of an id and language is used. A table without rows gives none.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from netweave.llm.common import bounded_sample, table
 SPACE = 1 << 14
 LENGTHS = (1, 2, 3, 4)
 PER_LANG = 300
-MAX_LANGS = 200
+#: Texts that are learned from, and landmarks, of all languages together.
+TEXTS = 60_000
+ALL_LANDMARKS = 4_000
 LANDMARKS = 40
 RIDGE = 1e-2
 SHARPNESS = 8.0
@@ -80,6 +85,7 @@ class KernelModel:
         self.names = sorted(set(langs))
         rows = presence_rows(texts)
         y = np.array([self.names.index(x) for x in langs])
+        per_lang = max(1, min(per_lang, ALL_LANDMARKS // len(self.names)))
         chosen = np.concatenate([np.flatnonzero(y == k)[:per_lang] for k in range(len(self.names))])
         self.landmarks = np.ascontiguousarray(rows[chosen])
         k_mm = (self.landmarks @ self.landmarks.T).astype(np.float64)
@@ -100,12 +106,14 @@ class KernelModel:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, fold: int = 2, folds: int = 4) -> KernelModel | None:
-    """Learn from at most ``per_lang`` texts of each of at most ``MAX_LANGS`` languages."""
+    """Learn from at most ``per_lang`` texts of each language, fewer where there are more than ``TEXTS / per_lang`` languages."""
     known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % folds != fold))
-    ids = bounded_sample(known.select("id", "lang"), "id", "lang", per_lang, MAX_LANGS)
-    # At most per_lang * MAX_LANGS ids: small by construction.
-    rows = known.join(F.broadcast(ids), ["id", "lang"]).where("text IS NOT NULL").limit(2 * per_lang * MAX_LANGS).collect()
+    known = known.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % folds != fold))
+    keys = known.select("id", "lang").distinct()
+    langs = keys.select("lang").distinct().count()
+    # At most TEXTS ids, or one for each language, each with one text: small by construction.
+    ids = bounded_sample(keys, "id", "lang", max(1, min(per_lang, TEXTS // max(1, langs))))
+    rows = known.join(F.broadcast(ids), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).collect()
     rows = sorted((zlib.crc32(str(r["id"]).encode()), str(r["id"]), r["lang"], r["text"]) for r in rows if has_letter(r["text"]))
     if not rows:
         return None
@@ -116,7 +124,7 @@ def predict(df: DataFrame, model: KernelModel | None, id_col: str = "doc_id", te
     """(doc_id, lang_pred, score) for each row."""
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
-    # The model's size is fixed by MAX_LANGS, LANDMARKS and SPACE.
+    # The model's size is bound by ALL_LANDMARKS (or the number of languages) and SPACE.
     held = spark.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
