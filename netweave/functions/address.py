@@ -57,6 +57,10 @@ class Ipv4Space(Space):
     def literal(self, n: int) -> Column:
         return F.lit(n).cast("long")
 
+    def number(self, key: int) -> int:
+        """The address of a collected key."""
+        return key
+
     def _size(self, plen: Column) -> Column:
         return shifted(1, F.lit(32) - plen)
 
@@ -127,6 +131,9 @@ class Ipv6Space(Space):
         hi, lo = split128(n)
         return F.struct(F.lit(hi).cast("long").alias("hi"), F.lit(lo).cast("long").alias("lo"))
 
+    def number(self, key) -> int:
+        return join128(key["hi"], key["lo"])
+
     @staticmethod
     def _pair(hi: Column, lo: Column) -> Column:
         return F.struct(hi.alias("hi"), lo.alias("lo"))

@@ -1,19 +1,24 @@
 """From an ordered log of inserts to the least set of disjoint CIDR leaves.
 
-1. *Segments*: block bounds cut the space; between two bounds the same inserts
-   apply. Bounds are sorted within address buckets; the bucket's first bound
-   ends the segment before it.
-2. *Cover*: an insert covers a segment exactly if it is the segment's
-   ancestor, so a segment is joined by equality on (length, first bits) for
-   the prefix lengths that occur. There is no range comparison and wide blocks
-   cost no more than narrow ones.
-3. *Fold*: last write, or an ordered fold of the covering inserts.
-4. *Islands*: neighbours of equal kind and value become one, within buckets
+1. *Blocks*: inserts of one block are brought together: the last one, or a
+   list for folds. They are written once; all that follows reads them.
+2. *Buckets*: quantiles of a sample of the blocks' starts cut the space, so
+   buckets hold about equally many blocks however addresses are spread. The
+   blocks that are open at a bucket's start, one for each length at most, are
+   sent to it as well.
+3. *Sweep*: block bounds, in order within a bucket, are the segments: between
+   two bounds the same inserts apply. Of each length the block that began last
+   is carried along, and it covers a segment exactly if it is its ancestor, so
+   all inserts of a segment are known in one ordered pass: no join, and no row
+   for each length.
+4. *Fold*: last write, or an ordered fold of the covering inserts.
+5. *Islands*: neighbours of equal kind and value become one, within buckets
    first; only each bucket's first and last island are then compared across.
-5. *Cover of islands* by CIDR blocks gives the leaves.
+6. *Cover of islands* by CIDR blocks gives the leaves.
 
 The tables that are ordered in one task hold two rows for each bucket at most
-(65,792 buckets).
+(``MAX_BUCKETS``). Prefix lengths (129 at most) and the buckets' bounds are
+found before the plan is made.
 """
 
 from __future__ import annotations
@@ -25,51 +30,79 @@ from pyspark.sql import functions as F
 
 from netweave.functions.address import Space, space_for
 from netweave.functions.values import fold_bytes
+from netweave.operators.settle import settle
 from netweave.operators.special import inside, reserved_blocks
 
+#: Blocks of a bucket, as long as there are no more than ``MAX_BUCKETS``.
+BUCKET_ROWS = 8_000
+MAX_BUCKETS = 4_096
+#: Starts that are sampled for each bucket.
+SAMPLED = 32
 
-def segments(blocks: DataFrame, space: Space, extra: list[tuple[int, int]] = ()) -> DataFrame:
-    """(start, last) of the elementary segments of blocks (start, plen); they tile the whole space."""
+
+def cuts(blocks: DataFrame, rows: int, space: Space) -> list[int]:
+    """First keys of the buckets, in order, from 0; all others are starts of blocks."""
+    n = min(MAX_BUCKETS, -(-rows // BUCKET_ROWS))
+    if n < 2:
+        return [0]
+    sample = blocks.select("start").sample(min(1.0, SAMPLED * n / rows), seed=1).collect()
+    keys = sorted(space.number(r["start"]) for r in sample)
+    return sorted({0, *(keys[k * len(keys) // n] for k in range(1, n) if keys)})
+
+
+def bucket_of(key: Column, bounds: list[int], space: Space) -> Column:
+    """Number of the last bound that is not beyond the key, by binary search in a literal array."""
+    if len(bounds) == 1:
+        return F.lit(0)
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    table = F.array(*[space.literal(b) for b in bounds])
+    more = lambda at, step: (at + step < len(bounds)) & (F.element_at(table, F.least(at + step, F.lit(len(bounds) - 1)) + 1) <= key)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(more(at, step), at + step).otherwise(at))
+
+
+def swept(blocks: DataFrame, space: Space, extra: list[tuple[int, int]] = ()) -> DataFrame:
+    """(start, last, bucket, puts) of the elementary segments of ``blocks`` (start, plen, put); they tile the whole space.
+
+    ``puts`` holds the ``put`` of each block that covers the segment.
+    """
     spark = blocks.sparkSession
-    end = space.last(F.col("start"), F.col("plen"))
-    after = F.when(end < space.top(), space.succ(end))
-    bounds = blocks.select(F.explode(F.array_compact(F.array("start", after))).alias("start"))
-    fixed = [0]
+    known = blocks.agg(F.count("*").alias("n"), F.collect_set("plen").alias("lengths")).first()
+    lengths, bounds = sorted(known["lengths"]), cuts(blocks, known["n"], space)
+    put_type = dict(blocks.dtypes)["put"]
+    point = lambda at: [at.alias("at"), F.lit(None).cast(space.key_type).alias("base"), F.lit(None).cast("int").alias("plen"), F.lit(None).cast(put_type).alias("put")]
+    fixed = {0}
     for base, plen in extra:
-        fixed += [base, base + (1 << (space.width - plen))]
-    literal = spark.range(1).select(F.explode(F.array(*[space.literal(n) for n in sorted({n for n in fixed if n < 1 << space.width})])).alias("start"))
-    bounds = bounds.union(literal).distinct().withColumn("bucket", space.bucket(F.col("start")))
-    within = Window.partitionBy("bucket").orderBy("start")
-    bounds = bounds.withColumn("next", F.lead("start").over(within))
-    firsts = bounds.groupBy("bucket").agg(F.min("start").alias("first"))
-    after = firsts.select("bucket", F.lead("first").over(Window.orderBy("bucket")).alias("after"))
-    # One row for each bucket, 65,792 at most.
-    joined = bounds.join(F.broadcast(after), "bucket")
-    end = F.coalesce("next", "after")
-    return joined.select("start", F.when(end.isNull(), space.top()).otherwise(space.pred(end)).alias("last"), "bucket")
-
-
-def cover(segs: DataFrame, log: DataFrame, space: Space) -> DataFrame:
-    """Segments with the inserts that cover them, by equality on the covering prefix; segments without any stay once, with nulls."""
-    # A scalar subquery: 129 lengths at most, found while the query runs.
-    lengths = log.agg(F.collect_set("plen")).scalar()
-    tried = segs.select("start", "last", "bucket", F.explode(lengths).alias("plen"))
-    tried = tried.withColumn("base", space.trunc(F.col("start"), F.col("plen")))
-    inserts = log.select(F.col("start").alias("base"), *[c for c in log.columns if c != "start"])
-    hits = tried.join(inserts, ["plen", "base"]).drop("base", "plen")
-    return segs.join(hits.drop("last", "bucket"), "start", "left")
-
-
-def last_write(log: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+        fixed |= {base, base + (1 << (space.width - plen))}
+    events = blocks.select(F.col("start").alias("at"), F.col("start").alias("base"), F.col("plen").cast("int").alias("plen"), "put")
+    end = space.last(F.col("start"), F.col("plen"))
+    events = events.union(blocks.where(end < space.top()).select(*point(space.succ(end))))
+    literal = spark.range(1).select(F.explode(F.array(*[space.literal(n) for n in sorted(n for n in fixed if n < 1 << space.width)])).alias("at"))
+    events = events.union(literal.select(*point(F.col("at"))))
+    if len(bounds) > 1 and lengths:
+        # Blocks that are open at a bucket's first key: one for each length at most, found by equality.
+        first = spark.range(1).select(F.explode(F.array(*[space.literal(b) for b in bounds[1:]])).alias("at")).withColumn("length", F.explode(F.array(*[F.lit(n) for n in lengths])))
+        first = first.withColumn("from", space.trunc(F.col("at"), F.col("length"))).where(F.col("from") < F.col("at"))
+        inherited = blocks.join(F.broadcast(first), (F.col("plen") == F.col("length")) & (F.col("start") == F.col("from")))
+        events = events.union(inherited.select("at", F.col("start").alias("base"), F.col("plen").cast("int").alias("plen"), "put"))
+    events = events.withColumn("bucket", bucket_of(F.col("at"), bounds, space))
+    order = Window.partitionBy("bucket").orderBy("at")
+    so_far = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = [F.last(F.when(F.col("plen") == n, F.struct("base", "put")), ignorenulls=True).over(so_far).alias(f"open{n}") for n in lengths]
+    rows = events.select("at", "bucket", F.lead("at").over(order).alias("next"), *open_)
+    rows = rows.where(F.col("next").isNull() | (F.col("next") != F.col("at")))
+    covers = [F.when(F.col(f"open{n}.base") == space.trunc(F.col("at"), F.lit(n)), F.col(f"open{n}")) for n in lengths]
+    puts = F.transform(F.array_compact(F.array(*covers)), lambda x: x["put"]) if covers else F.array().cast(f"array<{put_type}>")
+    after = F.coalesce("next", F.try_element_at(F.array(*[space.literal(b) for b in bounds]), F.col("bucket") + 2))
+    return rows.select(F.col("at").alias("start"), F.when(after.isNull(), space.top()).otherwise(space.pred(after)).alias("last"), "bucket", puts.alias("puts"))
+
+
+def last_write(log: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
     """The value with the greatest seq, whatever the prefix length; ``clear`` and null values remove."""
     kept = F.when(F.col("op") == "clear", None).otherwise(F.col("value")) if "op" in log.columns else F.col("value")
-    # Inserts of one block are reduced to the last one before anything is joined.
-    log = log.groupBy("start", "plen").agg(F.max_by(F.struct(kept.alias("value")), "seq").alias("put"), F.max("seq").alias("seq"))
-
-    def resolve(covered: DataFrame) -> DataFrame:
-        return covered.groupBy("start", "last", "bucket").agg(F.max_by("put", "seq").alias("put")).select("start", "last", "bucket", F.col("put.value").alias("value"))
-
-    return log, resolve
+    put = F.max_by(F.struct("seq", kept.alias("value")), "seq").alias("put")
+    later = lambda a, x: F.when(a.isNull() | (x["seq"] > a["seq"]), x).otherwise(a)
+    blocks = log.groupBy("start", "plen").agg(put)
+    return blocks, lambda puts: F.aggregate(puts, F.lit(None).cast(dict(blocks.dtypes)["put"]), later)["value"]
 
 
 def _by_seq(entries: Column) -> Column:
@@ -86,14 +119,8 @@ def ordered_fold(step: Callable[[Column, Column], Column], initial: Column, fini
 
     def build(log: DataFrame):
         entry = F.struct("seq", *[c for c in ("op", "value") if c in log.columns])
-        log = log.withColumn("entry", entry).select("start", "plen", "seq", "entry")
-
-        def resolve(covered: DataFrame) -> DataFrame:
-            listed = covered.groupBy("start", "last", "bucket").agg(_by_seq(F.collect_list("entry")).alias("entries"))
-            args = (F.col("entries"), initial, step) + ((finish,) if finish else ())
-            return listed.select("start", "last", "bucket", F.aggregate(*args).alias("value"))
-
-        return log, resolve
+        args = (initial, step) + ((finish,) if finish else ())
+        return log.groupBy("start", "plen").agg(F.collect_list(entry).alias("put")), lambda puts: F.aggregate(_by_seq(F.flatten(puts)), *args)
 
     return build
 
@@ -102,27 +129,27 @@ def merge_fold(log: DataFrame):
     """Replace, clear, top-level and deep merges over canonical bytes, in order of seq.
 
     What came before the last replacing insert of a block cannot matter and is
-    dropped before the join.
+    dropped before the inserts of a block are brought together.
     """
     resets = F.max(F.when(F.col("op").isin("replace", "clear") | F.col("value").isNull(), F.col("seq"))).over(Window.partitionBy("start", "plen"))
     log = log.withColumn("reset", resets).where("reset IS NULL OR seq >= reset").drop("reset")
-    log = log.select("start", "plen", F.struct("seq", F.coalesce("op", F.lit("replace")).alias("op"), "value").alias("entry"))
+    entry = F.struct("seq", F.coalesce("op", F.lit("replace")).alias("op"), "value")
 
-    def resolve(covered: DataFrame) -> DataFrame:
-        listed = covered.groupBy("start", "last", "bucket").agg(_by_seq(F.collect_list("entry")).alias("entries"))
-        ops, values = F.transform("entries", lambda e: e["op"]), F.transform("entries", lambda e: e["value"])
-        return listed.select("start", "last", "bucket", F.when(F.size("entries") > 0, fold_bytes(ops, values)).alias("value"))
+    def resolve(puts: Column) -> Column:
+        entries = _by_seq(F.flatten(puts))
+        return F.when(F.size(entries) > 0, fold_bytes(F.transform(entries, lambda e: e["op"]), F.transform(entries, lambda e: e["value"])))
 
-    return log, resolve
+    return log.groupBy("start", "plen").agg(F.collect_list(entry).alias("put")), resolve
 
 
 def resolved_segments(log: DataFrame, ip_version: int, resolve=last_write, exclude_reserved: bool = False) -> DataFrame:
     """(start, last, bucket, kind, value) of every segment; kind is D (data), R (reserved) or N (nothing)."""
     space = space_for(ip_version)
-    blocks = reserved_blocks(ip_version) if exclude_reserved else []
-    log, fold = resolve(log)
-    out = fold(cover(segments(log.select("start", "plen"), space, blocks), log, space))
-    reserved = inside(space, F.col("start"), blocks) if blocks else F.lit(False)
+    special = reserved_blocks(ip_version) if exclude_reserved else []
+    blocks, fold = resolve(log)
+    out = swept(settle(blocks), space, special)
+    out = out.select("start", "last", "bucket", F.when(F.size("puts") > 0, fold(F.col("puts"))).alias("value"))
+    reserved = inside(space, F.col("start"), special) if special else F.lit(False)
     kind = F.when(reserved, "R").when(F.col("value").isNull(), "N").otherwise("D")
     return out.withColumn("kind", kind).withColumn("value", F.when(F.col("kind") == "D", F.col("value")))
 
@@ -136,7 +163,7 @@ def islands(segs: DataFrame) -> DataFrame:
     runs = runs.withColumn("outer", (F.col("run") == 1) | (F.col("run") == last_run))
     runs = runs.groupBy("bucket", "run", "outer").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.first("kind").alias("kind"), F.first("value").alias("value"))
     inner = runs.where(~F.col("outer")).select("start", "last", "kind", "value")
-    # Two rows for each bucket at most: 131,584 in all.
+    # Two rows for each bucket at most: 2 * MAX_BUCKETS in all.
     order = Window.orderBy("start")
     joins = (F.col("bucket") != F.lag("bucket").over(order)) & F.col("kind").eqNullSafe(F.lag("kind").over(order)) & F.col("value").eqNullSafe(F.lag("value").over(order))
     edge = runs.where("outer").withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("group", F.sum("new").over(order))
