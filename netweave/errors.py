@@ -33,3 +33,4 @@ INVALID_RANGE = "InvalidRange"
 ALIASED = "AliasedNetwork"
 RESERVED = "ReservedNetwork"
 UNREADABLE = "UnreadableNetwork"
+UNSUPPORTED = "UnsupportedValue"

@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, ending: str = "") -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/netweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}{ending}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The rows written as Parquet in the shared folder and read back: lost executors lose nothing, and Spark knows the size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/netweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.functions.address import V4_BITS, Space, parse_network, space_for
+from netweave.functions.address import Space, parse_network, space_for
 
 #: Reserved IPv4 networks.
 RESERVED_V4 = (
@@ -95,7 +95,3 @@ def alias_leaves(leaves: DataFrame) -> DataFrame:
         alias = state.where(F.col("real") & ~F.col(f"taken{n}")).select(space.literal(base).alias("base"), F.lit(plen).alias("plen"), F.lit("A").alias("kind"), F.lit(None).cast(value).alias("value"))
         leaves = leaves.unionByName(alias)
     return leaves
-
-
-def is_v4_part(key: Column) -> Column:
-    return inside(space_for(6), key, [(0, 128 - V4_BITS.bit_length() + 1)])

@@ -68,8 +68,12 @@ def records(leaves: DataFrame, numbered: DataFrame, ip_version: int = 4) -> Data
 def first_appearance(recs: DataFrame) -> DataFrame:
     """(value, value_id): distinct values in the order in which the node scan meets them, left before right."""
     firsts = recs.where("kind = 'D'").groupBy("value").agg(F.min(F.struct("node_id", "side")).alias("at"))
-    # The data section is written in this order by one writer; distinct values are all that is ordered here.
-    return firsts.select("value", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("value_id"))
+    # Runs of 65,536 nodes are ranked for themselves, after the counts of the runs before: 65,536 runs at most.
+    firsts = firsts.withColumn("__run", F.shiftright(F.col("at.node_id"), 16))
+    before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = firsts.groupBy("__run").agg(F.count("*").alias("n")).select("__run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    nth = F.row_number().over(Window.partitionBy("__run").orderBy("at")) - 1
+    return firsts.withColumn("__nth", nth).join(F.broadcast(runs), "__run").select("value", (F.col("__first") + F.col("__nth")).cast("long").alias("value_id"))
 
 
 def record_values(recs: DataFrame, offsets: DataFrame, node_count: int) -> DataFrame:

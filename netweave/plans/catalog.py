@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netweave.database import Database
 from netweave.functions.address import V4, V6, format_ipv4, parse_network, rewrite_alias, shifted
-from netweave.functions.values import merge_maps
+from netweave.functions.values import decode_column, encode_column, merge_maps, value_json
 from netweave.operators import log as logs
 from netweave.operators.lookup import difference, enrich, intersect, longest_prefix
-from netweave.operators.overlay import flatten, islands, ordered_fold, resolved_segments
-from netweave.operators.special import ALIASES, RESERVED_V4, relation
+from netweave.operators.overlay import flatten, islands, merge_fold, ordered_fold, resolved_segments
+from netweave.operators.settle import new_path
+from netweave.operators.special import ALIASES, RESERVED_V4, RESERVED_V6, alias_leaves, relation
 from netweave.operators.trie import RECORD_SIZES, first_appearance, nodes, numbered_nodes, record_size_column, record_values, records
 from netweave.plans import inputs
 from netweave.plans.inputs import SQL_CUSTOMERS, SQL_DOCUMENTS, SQL_EVENTS, SQL_ORDERS, SQL_RANGES, SQL_WON, sql_cover, sql_islands, sql_segments, table
-from netweave.sources import datasource
+from netweave.sources import datasource, encode
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,6 +37,16 @@ def _leaves(df):
     return df.select("base", "plen", "value")
 
 
+def _with_text(rows):
+    """(seq, network, value): the inserts as CIDR text."""
+    return rows.select("seq", F.concat(format_ipv4(F.col("start")), F.lit("/"), F.col("plen").cast("string")).alias("network"), "value")
+
+
+def _read_back(df, schema: str, column: str = "value"):
+    """``df`` with the canonical bytes of ``column`` as a typed column."""
+    return decode_column(df, column, T.StructType.fromDDL(schema)[0].dataType, column)
+
+
 def _networks(*items: tuple[str, int]) -> str:
     return ", ".join(f"({base}, {1 << (32 - plen)}, {plen}, '{name}')" for name, (base, plen) in items)
 
@@ -74,6 +84,18 @@ def aliases(spark, sf_dir):
     return relation(spark, 6, ALIASES).select("network", "plen")
 
 
+@query("s5_reserved_networks_ipv6", "SELECT network, plen FROM (VALUES " + ", ".join(f"('{n}', {n.rpartition('/')[2]})" for n in RESERVED_V6) + ") AS t(network, plen)")
+def reserved_ipv6(spark, sf_dir):
+    return relation(spark, 6, RESERVED_V6).select("network", "plen")
+
+
+@query("s6_alias_leaves", "SELECT plen, 1::BIGINT AS n FROM (VALUES (96), (32), (16)) AS t(plen) WHERE (SELECT count(*) FROM orders) > 0")
+def alias_leaf_counts(spark, sf_dir):
+    rows = _with_text(inputs.order_networks(spark, sf_dir))
+    leaves = alias_leaves(Database(spark, "t", ip_version=6).insert(rows).leaves)
+    return leaves.where("kind = 'A'").groupBy("plen").agg(F.count("*").alias("n"))
+
+
 # Validation
 
 
@@ -108,6 +130,23 @@ def accepts(spark, sf_dir):
     return _mixed_log(spark, sf_dir).where("code IS NULL").select("seq")
 
 
+@query(
+    "f4_reserved_rejects_ipv6",
+    "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 < 3 THEN 'ReservedNetwork' END AS code FROM orders",
+)
+def rejects_ipv6(spark, sf_dir):
+    part = (F.col("o_orderkey") % 9000 + 1000).cast("string")
+    forms = [F.concat(F.lit("fc00:"), part, F.lit("::/32")), F.concat(F.lit("2001:db8:"), part, F.lit("::/48")), F.concat(F.lit("10.0."), (F.col("o_orderkey") % 250).cast("string"), F.lit(".0/24")), F.concat(F.lit("2a00:"), part, F.lit("::/32"))]
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("network"))
+    return logs.with_codes(logs.from_networks(rows, ip_version=6), ip_version=6, exclude_reserved=True).select("seq", "code")
+
+
+@query("p8_null_values", "SELECT o_orderkey AS seq, 'UnsupportedValue' AS code FROM orders WHERE o_orderkey % 5 = 0")
+def null_values(spark, sf_dir):
+    rows = _with_text(inputs.order_networks(spark, sf_dir)).withColumn("value", F.when(F.col("seq") % 5 != 0, F.col("value")))
+    return Database(spark, "t", ip_version=4, mode=logs.PERMISSIVE).insert(rows).rejected.select("seq", "code")
+
+
 @query(
     "f3_alias_rejects",
     "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 < 3 THEN 'AliasedNetwork' END AS code FROM orders",
@@ -150,6 +189,25 @@ def insert_range(spark, sf_dir):
     return _leaves(flatten(rows.select("seq", F.col("c.base").alias("start"), F.col("c.plen").alias("plen"), "value")))
 
 
+_RANGE_LEAVES = f"WITH RECURSIVE {SQL_RANGES}, ins AS (SELECT seq, first AS base, last - first + 1 AS size, value FROM rng), {sql_segments()}, {SQL_WON}, {sql_islands()}, {sql_cover()} "
+
+
+@query("t2_insert_ranges_text", _RANGE_LEAVES + "SELECT base, plen, value FROM leaf")
+def insert_ranges_text(spark, sf_dir):
+    rows = inputs.order_ranges(spark, sf_dir).select("seq", format_ipv4(F.col("first")).alias("start_ip"), format_ipv4(F.col("last")).alias("end_ip"), "value")
+    return _read_back(Database(spark, "t", ip_version=4).insert_ranges(rows).leaves, "value string").select("base", "plen", "value")
+
+
+@query("t2_insert_ranges_ipv6", _RANGE_LEAVES + "SELECT base AS unit, plen + 16 AS plen, value FROM leaf")
+def insert_ranges_ipv6(spark, sf_dir):
+    # The same ranges in units of /48 networks below 2a00::/16.
+    group = lambda n, shift: F.lower(F.hex(F.shiftright(n, shift).bitwiseAND(0xFFFF)))
+    head = lambda n: F.concat(F.lit("2a00:"), group(n, 16), F.lit(":"), group(n, 0))
+    rows = inputs.order_ranges(spark, sf_dir).select("seq", F.concat(head(F.col("first")), F.lit("::")).alias("start_ip"), F.concat(head(F.col("last")), F.lit(":ffff" * 5)).alias("end_ip"), "value")
+    leaves = _read_back(Database(spark, "t", ip_version=6).insert_ranges(rows).leaves, "value string")
+    return leaves.select(F.shiftright(F.col("base.hi"), 16).bitwiseAND(0xFFFFFFFF).alias("unit"), "plen", "value")
+
+
 # Overlays
 
 
@@ -224,6 +282,27 @@ def deep_merge(spark, sf_dir):
     return _fold(spark, sf_dir, log, fold)
 
 
+_MERGED = f"WITH {SQL_ORDERS}, {sql_segments()} SELECT lo AS start"
+
+
+@query("a4_merge_top_level", f"{_MERGED}, value AS key, max(seq) AS item FROM seg JOIN ins ON base <= lo AND lo < base + size GROUP BY lo, value")
+def merge_top(spark, sf_dir):
+    rows = _with_text(inputs.order_networks(spark, sf_dir)).withColumn("value", F.create_map("value", "seq").alias("value", metadata={"mmdb": "uint32"}))
+    db = Database(spark, "t", ip_version=4).insert(rows, op="top_level")
+    out = resolved_segments(db.log, 4, merge_fold).where("kind = 'D'")
+    return _read_back(out, "v map<string,bigint>").select("start", F.explode("value").alias("key", "item"))
+
+
+@query("a7_merge_deep", f"{_MERGED}, string_agg(value, ',' ORDER BY seq) AS tags, max(seq) AS last_seq, max(seq) AS inner_seq FROM seg JOIN ins ON base <= lo AND lo < base + size GROUP BY lo")
+def merge_deeply(spark, sf_dir):
+    last = F.col("seq").alias("last", metadata={"mmdb": "uint32"})
+    rows = _with_text(inputs.order_networks(spark, sf_dir)).withColumn("value", F.struct(F.array("value").alias("tags"), last, F.struct(last).alias("inner")))
+    db = Database(spark, "t", ip_version=4).insert(rows, op="deep")
+    out = resolved_segments(db.log, 4, merge_fold).where("kind = 'D'")
+    out = _read_back(out, "v struct<tags:array<string>,last:bigint,inner:struct<last:bigint>>")
+    return out.select("start", F.array_join("value.tags", ",").alias("tags"), F.col("value.last").alias("last_seq"), F.col("value.inner.last").alias("inner_seq"))
+
+
 _CLEARED = "won AS (SELECT lo, hi, arg_max_null(CASE WHEN seq % 7 = 0 THEN NULL ELSE value END, seq) AS value FROM seg LEFT JOIN ins ON base <= lo AND lo < base + size GROUP BY lo, hi)"
 
 
@@ -247,9 +326,11 @@ def carveout(spark, sf_dir):
     f"WITH RECURSIVE {SQL_CUSTOMERS.replace('ins AS', 'old AS')}, {SQL_ORDERS.replace('ins AS', 'more AS')}, ins AS (SELECT seq - 1000000000 AS seq, base, size, value::VARCHAR AS value FROM old UNION ALL SELECT seq, base, size, value FROM more), {sql_segments()}, {SQL_WON}, {sql_islands()}, {sql_cover()} SELECT base, plen, value FROM leaf",
 )
 def load_extend(spark, sf_dir):
-    old = inputs.customer_networks(spark, sf_dir).withColumn("value", F.col("value").cast("string"))
-    more = inputs.order_networks(spark, sf_dir).select("seq", "start", "plen", "value")
-    return _leaves(flatten(logs.append(old.select("seq", "start", "plen", "value"), more)))
+    old = _with_text(inputs.customer_networks(spark, sf_dir).withColumn("value", F.col("value").cast("string")))
+    path = new_path(spark, ".mmdb")
+    Database(spark, "nations", ip_version=4, build_epoch=1).insert(old).write(path)
+    loaded = Database.load(spark, path).insert(_with_text(inputs.order_networks(spark, sf_dir)))
+    return _read_back(loaded.leaves, "value string").select("base", "plen", "value")
 
 
 _TWO = f"""{SQL_ORDERS.replace("ins AS", "allins AS")},
@@ -394,22 +475,85 @@ def record_sizes(spark, sf_dir):
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(bits, node_bytes, max_value)")
 
 
-@query("x6_pointer_bytes", "SELECT o_orderkey AS seq, CASE WHEN o_orderkey * 97 < 2048 THEN 2 WHEN o_orderkey * 97 < 526336 THEN 3 WHEN o_orderkey * 97 < 134744064 THEN 4 ELSE 5 END AS size FROM orders")
+_POINTER = "o_orderkey * 97 AS o"
+
+
+@query(
+    "x6_pointer_bytes",
+    f"""SELECT seq, CASE WHEN o < 2048 THEN printf('%04x', 8192 + o) WHEN o < 526336 THEN printf('%06x', 2621440 + o - 2048) WHEN o < 134744064 THEN printf('%08x', 805306368 + o - 526336) ELSE '38' || printf('%08x', o) END AS pointer
+FROM (SELECT o_orderkey AS seq, {_POINTER} FROM orders)""",
+)
 def pointer_bytes(spark, sf_dir):
-    at = F.col("o_orderkey") * 97
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.when(at < 2048, 2).when(at < 526_336, 3).when(at < 134_744_064, 4).otherwise(5).alias("size"))
+    @F.pandas_udf("string")
+    def written(offsets: pd.Series) -> pd.Series:
+        return pd.Series([encode.pointer(int(n)).hex() for n in offsets], dtype=object)
+
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), written(F.col("o_orderkey") * 97).alias("pointer"))
 
 
 @query("x3_size_class", "SELECT doc_id, CASE WHEN n < 29 THEN 1 WHEN n < 285 THEN 2 WHEN n < 65821 THEN 3 ELSE 4 END AS header FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
 def size_class(spark, sf_dir):
-    n = F.octet_length("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(n < 29, 1).when(n < 285, 2).when(n < 65_821, 3).otherwise(4).alias("header"))
+    rows = encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "coded")
+    return rows.select("doc_id", (F.octet_length("coded") - F.octet_length("text")).alias("header"))
 
 
 @query("x1_uint_trimmed_len", "SELECT o_orderkey AS seq, CASE WHEN n = 0 THEN 0 ELSE floor(log2(n) / 8)::INTEGER + 1 END AS bytes FROM (SELECT o_orderkey, o_orderkey AS n FROM orders)")
 def uint_bytes(spark, sf_dir):
-    n = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.when(n == 0, 0).otherwise(F.floor((F.length(F.hex(n)) + 1) / 2)).cast("int").alias("bytes"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("n", metadata={"mmdb": "uint32"}))
+    # One control byte comes before the digits.
+    return encode_column(rows, "n", "coded").select("seq", (F.octet_length("coded") - 1).alias("bytes"))
+
+
+@query(
+    "x8_data_section",
+    "SELECT n_nationkey AS seq, (coalesce(sum(4 + strlen(n_name)) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN n_nationkey > 0 THEN 3 ELSE 0 END)::BIGINT AS at FROM nation",
+)
+def data_section(spark, sf_dir):
+    # Each nation is a map with one entry; from the second one on its key is a pointer of two bytes instead of five.
+    @F.pandas_udf("array<struct<seq:bigint,at:bigint>>")
+    def placed(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            section = encode.DataSection()
+            out.append([{"seq": int(r["k"]), "at": section.place({"name": r["name"]})} for r in sorted(row, key=lambda r: r["k"])])
+        return pd.Series(out)
+
+    # The nations of TPC-H are 25 rows.
+    listed = table(spark, sf_dir, "nation").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"))).alias("rows"))
+    return listed.select(F.explode(placed("rows")).alias("r")).select("r.*")
+
+
+def _packed(bits: int):
+    def run(spark, sf_dir):
+        @F.pandas_udf("string")
+        def packed(left: pd.Series, right: pd.Series) -> pd.Series:
+            data = encode.pack_records(left.to_numpy(), right.to_numpy(), bits)
+            return pd.Series([data[at : at + bits // 4].hex() for at in range(0, len(data), bits // 4)], dtype=object)
+
+        left, right = F.col("o_orderkey") * 7919 % F.lit(1 << bits), (F.col("o_orderkey") * 104729 + F.col("o_custkey") * 15485863) % F.lit(1 << bits)
+        return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), packed(left, right).alias("node"))
+
+    return run
+
+
+for _bits, _form in ((24, "printf('%06x%06x', l, r)"), (28, "printf('%06x%01x%01x%06x', l % 16777216, l // 16777216, r // 16777216, r % 16777216)"), (32, "printf('%08x%08x', l, r)")):
+    query(f"k7_packed_nodes_{_bits}", f"SELECT seq, {_form} AS node FROM (SELECT o_orderkey AS seq, o_orderkey * 7919 % {1 << _bits} AS l, (o_orderkey * 104729 + o_custkey * 15485863) % {1 << _bits} AS r FROM orders)")(_packed(_bits))
+
+
+@query(
+    "p9_enum_variants",
+    """SELECT o_orderkey AS seq, CASE o_orderkey % 4 WHEN 0 THEN '"unknown"' WHEN 1 THEN '{"code": ' || o_custkey || '}' WHEN 2 THEN '{"pair": ["' || o_orderpriority || '", "' || o_orderstatus || '"]}' ELSE '{"record": {"name": "' || o_orderpriority || '"}}' END AS value FROM orders""",
+)
+def enum_variants(spark, sf_dir):
+    turn = F.col("o_orderkey") % 4
+    variant = F.struct(
+        F.when(turn == 0, F.lit(True)).alias("unknown", metadata={"mmdb": "unit"}),
+        F.when(turn == 1, F.col("o_custkey")).alias("code", metadata={"mmdb": "uint32"}),
+        F.when(turn == 2, F.array("o_orderpriority", "o_orderstatus")).alias("pair"),
+        F.when(turn == 3, F.struct(F.col("o_orderpriority").alias("name"))).alias("record"),
+    ).alias("value", metadata={"mmdb": "enum"})
+    rows = encode_column(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), variant), "value")
+    return rows.select("seq", value_json(F.col("value")).alias("value"))
 
 
 @query("k1_roundtrip", _CUSTOMERS + " SELECT base, plen, value FROM leaf")
@@ -417,13 +561,8 @@ def roundtrip(spark, sf_dir):
     rows = inputs.customer_networks(spark, sf_dir)
     networks = rows.select("seq", F.concat(format_ipv4(F.col("start")), F.lit("/24")).alias("network"), F.struct(F.col("value").alias("nation")).alias("value"))
     built = Database(spark, "nations", ip_version=4).insert(networks)
-    folder = tempfile.mkdtemp(prefix="netweave-")
-    built.write(path := os.path.join(folder, "nations.mmdb"))
+    built.write(path := new_path(spark, ".mmdb"))
     datasource.register(spark)
-    from pyspark.sql import types as T
-
-    from netweave.functions.values import decode_column
-
     found = spark.read.format("netweave").option("path", path).load()
-    typed = decode_column(found, "value", T.StructType([T.StructField("nation", T.IntegerType())]), "typed")
-    return typed.select(F.conv("start", 16, 10).cast("long").alias("base"), "plen", F.col("typed.nation").alias("value"))
+    typed = _read_back(found, "v struct<nation:int>")
+    return typed.select(F.conv("start", 16, 10).cast("long").alias("base"), "plen", F.col("value.nation").alias("value"))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from netweave.database import Database
 from netweave.errors import LoadError, RejectedInserts
-from netweave.functions.address import V4, cover_range, format_network, parse_network
-from netweave.functions.values import I32, U32, canonical, decode
+from netweave.functions.address import V4, address_key, cover_range, format_network, parse_network
+from netweave.functions.values import I32, U16, U32, canonical, decode, encode_column
 from netweave.operators import log as logs
+from netweave.operators import overlay
 from netweave.operators.overlay import flatten, last_write, merge_fold, ordered_fold
+from netweave.operators.lookup import enrich
 from netweave.operators.special import alias_leaves
 from netweave.operators.trie import nodes
 from netweave.sources import datasource
@@ -184,40 +186,37 @@ def test_load_extend_and_source(spark, tmp_path):
     assert {r["network"] for r in datasource.read_mmdb(spark, path).collect()} == {"1.2.3.0/24", "2a00::/32"}
 
 
-@pytest.mark.parametrize("version", [4, 6])
-def test_random_overlays_against_brute_force(spark, version):
+@pytest.mark.parametrize("version,bucket_rows", [(4, 8_000), (6, 8_000), (4, 5), (6, 5)])
+def test_random_overlays_against_brute_force(spark, version, bucket_rows, monkeypatch):
+    monkeypatch.setattr(overlay, "BUCKET_ROWS", bucket_rows)
     rng = random.Random(version)
     width = 12
     shift = (32 if version == 4 else 128) - width
-    top = 0 if version == 4 else 0x2A0 << (128 - width)
-    for exclude in (False,):
-        state: dict[int, int] = {}
-        rows = []
-        for seq in range(60):
-            plen = rng.randint(1 if version == 4 else 4, width)
-            base = (rng.randrange(1 << width) >> (width - plen)) << (width - plen)
-            value = None if rng.random() < 0.2 else rng.randint(1, 4)
-            rows.append((seq, base, plen, value))
-            for x in range(base, base + (1 << (width - plen))):
-                state[x] = value
-        del top
-        top = 0
-        data = [(f"{ipaddress.ip_address(b << shift) if version == 4 else ipaddress.IPv6Address(b << shift)}/{p}", None if v is None else u(v)) for _, b, p, v in rows]
-        db = built(spark, data, version, ipv4_aliasing=False)
-        got: dict[int, int] = {}
-        leaves = [(parse_network(n, version), v) for n, v in found(db).items()]
-        for (base, plen), v in leaves:
-            assert plen <= width
-            for x in range(base >> shift, (base >> shift) + (1 << (width - plen))):
-                assert x not in got
-                got[x] = int(v)
-        assert got == {k: v for k, v in state.items() if v is not None}
-        blocks = {(b, n): v for (b, n), v in leaves}
-        for (b, n), v in blocks.items():  # no two halves of one value are left apart
-            sibling = b ^ (1 << ((32 if version == 4 else 128) - n)) if n else None
-            assert blocks.get((sibling, n)) != v
-        file = MmdbFile(db.to_bytes())
-        assert all((file.lookup(x << shift) or None) == got.get(x) for x in rng.sample(range(1 << width), 200))
+    state: dict[int, int] = {}
+    rows = []
+    for seq in range(60):
+        plen = rng.randint(1 if version == 4 else 4, width)
+        base = (rng.randrange(1 << width) >> (width - plen)) << (width - plen)
+        value = None if rng.random() < 0.2 else rng.randint(1, 4)
+        rows.append((seq, base, plen, value))
+        for x in range(base, base + (1 << (width - plen))):
+            state[x] = value
+    data = [(f"{ipaddress.ip_address(b << shift) if version == 4 else ipaddress.IPv6Address(b << shift)}/{p}", None if v is None else u(v)) for _, b, p, v in rows]
+    db = built(spark, data, version, ipv4_aliasing=False)
+    got: dict[int, int] = {}
+    leaves = [(parse_network(n, version), v) for n, v in found(db).items()]
+    for (base, plen), v in leaves:
+        assert plen <= width
+        for x in range(base >> shift, (base >> shift) + (1 << (width - plen))):
+            assert x not in got
+            got[x] = int(v)
+    assert got == {k: v for k, v in state.items() if v is not None}
+    blocks = {(b, n): v for (b, n), v in leaves}
+    for (b, n), v in blocks.items():  # no two halves of one value are left apart
+        sibling = b ^ (1 << ((32 if version == 4 else 128) - n)) if n else None
+        assert blocks.get((sibling, n)) != v
+    file = MmdbFile(db.to_bytes())
+    assert all((file.lookup(x << shift) or None) == got.get(x) for x in rng.sample(range(1 << width), 200))
 
 
 def test_last_write_equals_merge_fold(spark):
@@ -227,3 +226,58 @@ def test_last_write_equals_merge_fold(spark):
     one = {(r["base"], r["plen"], bytes(r["value"])) for r in flatten(log, 4, last_write).collect()}
     assert one == {(r["base"], r["plen"], bytes(r["value"])) for r in flatten(log, 4, merge_fold).collect()}
     assert nodes(flatten(log, 4)).count() > 1
+
+
+@pytest.mark.parametrize("bucket_rows", [8_000, 3])
+def test_lookups_in_both_spaces(spark, bucket_rows, monkeypatch):
+    monkeypatch.setattr(overlay, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(12)
+    rows = [(f"{rng.randrange(1, 224)}.{rng.randrange(256)}.0.0/{rng.randint(6, 16)}", u(rng.randint(1, 9))) for _ in range(25)]
+    rows += [(f"2a00:{rng.randrange(16):x}::/{rng.randint(17, 48)}", u(rng.randint(1, 9))) for _ in range(25)]
+    db = built(spark, rows)
+    nets = [(ipaddress.ip_network(n, strict=False), v) for n, v in rows]
+    texts = [f"{rng.randrange(1, 224)}.{rng.randrange(256)}.1.2" for _ in range(60)] + [f"2a00:{rng.randrange(16):x}:{rng.choice([0, 0, 0x8000]):x}::1" for _ in range(60)] + [None, "nonsense"]
+    probes = spark.createDataFrame([(t, i, "k") for i, t in enumerate(texts)], "ip string, number int, leaf string")
+    want = {}
+    for i, t in enumerate(texts):
+        want[i] = None
+        for net, v in nets if t and t != "nonsense" else []:
+            if ipaddress.ip_address(t) in net:
+                want[i] = int(v)
+    got = {r["number"]: r["value"] and decode(bytes(r["value"])) for r in db.get(probes).collect()}
+    assert got == want and db.get(probes).columns == ["ip", "number", "leaf", "base", "plen", "value"]
+    small = enrich(probes.withColumn("at", address_key(F.col("ip"), 6)), db.leaves, "at", 6, how="inner", max_broadcast=0)
+    assert {r["number"] for r in small.collect()} == {i for i, v in want.items() if v is not None}
+
+
+def test_typed_values(spark):
+    def encoded(column, schema="a string, b boolean, c int, d long, e binary"):
+        df = spark.createDataFrame(data, schema)
+        return [None if r["x"] is None else bytes(r["x"]) for r in encode_column(df.select(column.alias("v", metadata=meta)), "v", "x").collect()]
+
+    data = [("é" * n, n % 2 == 0, n * 257, n * 65_537, bytes(n)) for n in (0, 1, 28, 29, 100, 255)] + [(None,) * 5]
+    meta = {}
+    assert encoded(F.col("a")) == [None if r[0] is None else canonical(r[0]) for r in data]
+    assert encoded(F.col("b")) == [None if r[0] is None else canonical(r[1]) for r in data]
+    assert encoded(F.col("e")) == [None if r[0] is None else canonical(r[4]) for r in data]
+    meta = {"mmdb": "uint16"}
+    assert encoded(F.col("c")) == [None if r[0] is None else canonical(U16(r[2])) for r in data]
+    meta = {"mmdb": "uint32"}
+    assert encoded(F.col("d")) == [None if r[0] is None else canonical(U32(r[3])) for r in data]
+    data = [("x" * 70_000, True, -1, 1 << 32, b"")]
+    meta = {}
+    assert encoded(F.col("a")) == [canonical("x" * 70_000)]
+    for column, kind in ((F.col("c"), "uint16"), (F.col("d"), "uint32")):
+        meta = {"mmdb": kind}
+        with pytest.raises(Exception, match=f"no {kind}"):
+            encoded(column)
+
+
+def test_null_values_are_rejected(spark):
+    rows = spark.createDataFrame([(0, "10.0.0.0/8", "x", "replace"), (1, "10.1.0.0/16", None, "clear"), (2, "10.2.0.0/16", None, "replace")], "seq long, network string, value string, op string")
+    with pytest.raises(RejectedInserts, match="UnsupportedValue"):
+        Database(spark, "t", ip_version=4).insert(rows)
+    db = Database(spark, "t", ip_version=4, mode=logs.PERMISSIVE).insert(rows)
+    assert {r["seq"] for r in db.rejected.collect()} == {2}
+    leaves = found(db)
+    assert "10.2.0.0/15" in leaves and not any(n.startswith("10.1.") for n in leaves)
