@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,9 +47,38 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/netweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _planning:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What the stages of a pipeline have written for themselves, and whether a stage is being planned.
+_written: list[str] = []
+_planning = False
+
+
+@contextmanager
+def stage(docs: DataFrame) -> Iterator[None]:
+    """Around a stage whose predecessor's rows have been written: what earlier stages wrote for themselves is removed.
+
+    Folders that ``docs`` still reads stay, for a caller that passes a stage's
+    rows on unwritten. Only what is written within stages is ever removed.
+    """
+    global _planning
+    spark = docs.sparkSession
+    if _written:
+        read = docs.inputFiles()
+        for path in [p for p in _written if not any(f"/{p.rpartition('/')[2]}/" in f for f in read)]:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _written.remove(path)
+    _planning = True
+    try:
+        yield
+    finally:
+        _planning = False
+
+
 def inline_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """A literal relation of strings and integers, planned as a local relation."""
 

@@ -652,6 +652,75 @@ def test_pipeline(spark):
     assert kept["secret_scan"] == kept["near_dedup"] <= kept["exact_dedup"] <= kept["toxicity"] and kept["packing"] == kept["secret_scan"]
 
 
+def test_pipeline_against_brute_force(spark, tmp_path, hard):
+    """All stages but the classifier's own score are computed anew from the texts, with null and repeated ids."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    ids = [r[0] for r in rows]
+    odd = [(None if rng.random() < 0.3 else rng.choice(ids), text, "en", "x", None) for text in [*family(rng, 6), *family(rng, 3, 80, (1, 2)), None, "", None, "token=abcdef123 and more of it", "two\u2028lines"] for _ in range(2)]
+    table = spark.createDataFrame(rows + odd, docs.schema)
+    (tmp_path / "t").mkdir()
+    folder = str(tmp_path / "t")
+    table.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    left = [(r["doc_id"], r["text"]) for r in docs.collect() if model is None or model.score(r["text"]) < 0.5]
+    # Equal texts: the longest original, then the smallest id.
+    groups = {}
+    for doc, text in left:
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", text or ""), []).append((-len(text or ""), doc is None, doc or 0, text or "", text))
+    left = [(None if no else doc, text) for _, no, doc, _, text in (min(v, key=lambda x: x[:4]) for v in groups.values())]
+    # Similar texts: one row of each group, the smallest id.
+    _, roots = brute_near(dict(enumerate(t for _, t in left)))
+    best = {}
+    for n, (doc, text) in enumerate(left):
+        best.setdefault(roots[n], []).append((doc is None, doc or 0, n))
+    left = [left[min(v)[2]] for v in best.values()]
+    ids_ = Counter(doc for doc, _ in left)
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r["doc_id"] for r in out if r["start"] == 0) == ids_
+    library = packing.byte_bpe()
+    got = {}
+    for r in sorted(out, key=lambda r: r["start"]):
+        got.setdefault((r["doc_id"], r["doc_tokens"]), []).extend(r["ids"])
+    for doc, text in left:
+        if text and ids_[doc] == 1:
+            spans = sorted(brute_spans(text) + [(m.start(), 9, x.kind, m.end()) for x in secret_scan.MORE for m in re.finditer(x.pattern, text)])
+            parts, at = [], 0
+            for start, _, _, end in spans:
+                parts += [text[at:start], "<secret>"] if start >= at else []
+                at = max(at, end)
+            ids = np.frombuffer(library.ids("".join([*parts, text[at:]])), dtype=np.uint32).tolist() + [1]
+            assert [v for (d, _), v in got.items() if d == doc] == [ids]
+    assert sorted(r["sequence_id"] for r in out) == list(range(len(out)))
+
+
+def test_stages_remove_what_is_written_for_earlier_ones(spark, documents):
+    import corpus_pipeline
+    from netweave.llm import common
+
+    corpus_pipeline.run(spark, DATA).count()
+    # The last stage's own file is what is left of all stages.
+    assert len(common._written) == 1
+    unwritten = corpus_pipeline.drop_exact_copies(spark, documents.limit(50), DATA)
+    passed_on = corpus_pipeline.drop_near_copies(spark, unwritten, DATA)
+    assert passed_on.count() <= unwritten.count()
+
+
+def test_pipeline_of_an_empty_table(spark, documents):
+    import corpus_pipeline
+
+    docs = documents.limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, DATA)
+        assert docs.count() == 0
+        docs = documents.limit(0)
+
+
 def test_pipeline_packs_token_ids(spark, documents):
     import corpus_pipeline
 
