@@ -7,7 +7,7 @@ components of either:
 * ``near_groups``: fingerprints that differ in ``RADIUS`` bits or fewer.
 * ``drop_near_copies``: texts whose sets of five-word shingles have a Jaccard
   similarity of 0.8 or more. Fingerprints of such texts differ in 10 bits on
-  average and in 19 at most of some 7,000 pairs made for it, so candidates are
+  average and in 19 at most of some 6,000 pairs made for it, so candidates are
   those within ``SIMILAR_RADIUS`` bits, compared exactly afterwards.
 
 Near fingerprints, without comparing all pairs: equal fingerprints are one
