@@ -80,8 +80,9 @@ class Ipv4Space(Space):
         """The right half of the block (base, depth)."""
         return base + shifted(1, F.lit(31) - depth)
 
-    def bucket(self, key: Column) -> Column:
-        return F.shiftright(key, 24).cast("int")
+    def common(self, a: Column, b: Column) -> Column:
+        """Number of first bits that two keys share."""
+        return F.when(a == b, 32).otherwise(32 - F.length(F.bin(a.bitwiseXOR(b))))
 
     def cover(self, start: Column, last: Column) -> Column:
         """The least set of CIDR blocks for [start, last]: array of (base, plen), in closed form.
@@ -166,15 +167,10 @@ class Ipv6Space(Space):
         bit = lambda n: F.when((n >= 0) & (n < 64), shifted(1, F.lit(63) - n)).otherwise(F.lit(0).cast("long"))
         return self._pair(base["hi"].bitwiseXOR(bit(depth)), base["lo"].bitwiseXOR(bit(depth - 64)))
 
-    def bucket(self, key: Column) -> Column:
-        """Upper 16 bits; the IPv4 part, which would share one bucket, by its first octet, in key order.
-
-        Bucket numbers keep the order of keys: the IPv4 part is 1 to 256, the rest of the first 16-bit block is 0 or 257.
-        """
-        low = self._flip(key["lo"])
-        upper = F.shiftrightunsigned(self._flip(key["hi"]), 48).cast("int")
-        first = F.when((key["hi"] == _MIN) & (low >= 0) & (low < V4_BITS), F.shiftright(low, 24).cast("int"))
-        return F.when(first.isNotNull(), first).when(upper == 0, F.lit(256)).otherwise(upper + 256).cast("int")
+    def common(self, a: Column, b: Column) -> Column:
+        """Number of first bits that two keys share."""
+        differ = lambda part: F.length(F.bin(a[part].bitwiseXOR(b[part])))
+        return F.when(a["hi"] != b["hi"], 64 - differ("hi")).when(a["lo"] != b["lo"], 128 - differ("lo")).when(a == b, 128)
 
     def cover(self, start: Column, last: Column) -> Column:
         @F.pandas_udf("array<struct<base:struct<hi:bigint,lo:bigint>,plen:int>>")
@@ -217,7 +213,7 @@ def format_network(base: int, plen: int, ip_version: int) -> str:
 
 
 def network_text(base: Column, plen: Column, ip_version: int) -> Column:
-    """Column form of :func:`format_network`."""
+    """Column form of :func:`format_network`; null where the block is."""
     if ip_version == 4:
         return F.concat(format_ipv4(base), F.lit("/"), plen.cast("string"))
 
@@ -225,7 +221,14 @@ def network_text(base: Column, plen: Column, ip_version: int) -> Column:
     def text(hi: pd.Series, lo: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([format_network(join128(int(a), int(b)), int(k), 6) for a, b, k in zip(hi, lo, n, strict=True)], dtype=object)
 
-    return text(base["hi"], base["lo"], plen)
+    # Zeros in place of nulls: longs beside nulls would reach the function as doubles.
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    return F.when(base["hi"].isNotNull() & plen.isNotNull(), text(zero(base["hi"]), zero(base["lo"]), zero(plen)))
+
+
+def whole_numbers(rows: list[tuple], names: tuple[str, ...]) -> pd.DataFrame:
+    """Columns of the rows' first items. With a null among them pandas would take whole numbers for doubles and round them."""
+    return pd.DataFrame({name: pd.array([row[n] for row in rows], dtype="Int64") for n, name in enumerate(names)})
 
 
 def address_key(text: Column, ip_version: int) -> Column:
@@ -241,7 +244,7 @@ def address_key(text: Column, ip_version: int) -> Column:
                 out.append(split128(int(ipaddress.ip_address(t))))
             except ValueError:
                 out.append((None, None))
-        return pd.DataFrame(out, columns=["hi", "lo"]).astype("Int64")
+        return whole_numbers(out, ("hi", "lo"))
 
     pair = key(text)
     return F.when(pair["hi"].isNotNull(), F.struct(pair["hi"].alias("hi"), pair["lo"].alias("lo")))

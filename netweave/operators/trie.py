@@ -1,8 +1,10 @@
 """The binary trie of a leaf set as relations: nodes, their numbers, and record values.
 
 A trie is never built step by step. Its nodes are the root and all proper
-ancestors of leaves; their number in a pre-order walk is their rank by
-(base, depth).
+ancestors of leaves. In address order each leaf opens the nodes below those
+that it shares with the leaf before, so each node is made once, and its number
+in a pre-order walk is the count of the nodes that were opened before it: only
+leaves are ordered, never nodes.
 """
 
 from __future__ import annotations
@@ -11,34 +13,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.functions.address import Space, space_for
+from netweave.operators.overlay import bucket_of, cuts
+from netweave.operators.settle import settle
 
 #: Record sizes: bits, bytes of a node, and the first value that does not fit.
 RECORD_SIZES = ((24, 6, 1 << 24), (28, 7, 1 << 28), (32, 8, 1 << 32))
 
 
+def _walked(leaves: DataFrame, space: Space) -> DataFrame:
+    """(base, plen, bucket, shared): ``shared`` is the depth of the deepest node above both a leaf and the one before it, 0 for the first.
+
+    Buckets are cut by the data, as in the overlay, and hold about equally many leaves.
+    """
+    rows = settle(leaves.select("base", "plen"))
+    bounds = cuts(rows.select(F.col("base").alias("start")), rows.count(), space)
+    rows = rows.withColumn("bucket", bucket_of(F.col("base"), bounds, space))
+    # One row for each bucket.
+    edges = rows.groupBy("bucket").agg(F.max("base").alias("last")).select("bucket", F.lag("last").over(Window.orderBy("bucket")).alias("edge"))
+    before = F.coalesce(F.lag("base").over(Window.partitionBy("bucket").orderBy("base")), "edge")
+    rows = rows.join(F.broadcast(edges), "bucket").withColumn("before", before)
+    return rows.select("base", "plen", "bucket", F.coalesce(space.common(F.col("before"), F.col("base")), F.lit(0)).alias("shared"))
+
+
+def _opened(walked: DataFrame) -> DataFrame:
+    """The leaves that open nodes of their own, with ``n``, how many; the root belongs to none."""
+    return walked.withColumn("n", F.col("plen") - 1 - F.col("shared")).where("n > 0")
+
+
 def nodes(leaves: DataFrame, ip_version: int = 4) -> DataFrame:
     """(base, depth) of the root and of every proper ancestor of a leaf."""
     space = space_for(ip_version)
-    up = leaves.where("plen > 0").select("base", F.explode(F.sequence(F.lit(0), F.col("plen") - 1)).alias("depth"))
-    up = up.select(space.trunc(F.col("base"), F.col("depth")).alias("base"), "depth")
+    below = _opened(_walked(leaves, space)).withColumn("depth", F.explode(F.sequence(F.col("shared") + 1, F.col("plen") - 1)))
     root = leaves.sparkSession.range(1).select(space.zero().alias("base"), F.lit(0).alias("depth"))
-    return up.union(root).distinct()
-
-
-def ranked(df: DataFrame, space: Space, key: str, *order: str, out: str = "node_id") -> DataFrame:
-    """Rank of each row by ``key`` and ``order``, from 0: within address buckets, plus the counts of the buckets before."""
-    rows = df.withColumn("__bucket", space.bucket(F.col(key)))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each bucket: 65,792 at most.
-    firsts = rows.groupBy("__bucket").agg(F.count("*").alias("n")).select("__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy("__bucket").orderBy(key, *order)
-    rows = rows.withColumn("__nth", F.row_number().over(within) - 1)
-    return rows.join(F.broadcast(firsts), "__bucket").withColumn(out, (F.col("__first") + F.col("__nth")).cast("long")).drop("__bucket", "__nth", "__first")
+    return below.select(space.trunc(F.col("base"), F.col("depth")).alias("base"), "depth").union(root)
 
 
 def numbered_nodes(leaves: DataFrame, ip_version: int = 4) -> DataFrame:
     """(node_id, base, depth)."""
-    return ranked(nodes(leaves, ip_version), space_for(ip_version), "base", "depth")
+    space = space_for(ip_version)
+    opened = settle(_opened(_walked(leaves, space)))
+    before = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each bucket; the root has number 0.
+    firsts = opened.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", (1 + before(Window.orderBy("bucket"))).alias("first"))
+    within = before(Window.partitionBy("bucket").orderBy("base"))
+    below = opened.withColumn("within", within).join(F.broadcast(firsts), "bucket")
+    below = below.select("base", (F.col("first") + F.col("within")).alias("first"), F.posexplode(F.sequence(F.col("shared") + 1, F.col("plen") - 1)).alias("nth", "depth"))
+    below = below.select((F.col("first") + F.col("nth")).cast("long").alias("node_id"), space.trunc(F.col("base"), F.col("depth")).alias("base"), "depth")
+    root = leaves.sparkSession.range(1).select(F.lit(0).cast("long").alias("node_id"), space.zero().alias("base"), F.lit(0).alias("depth"))
+    return below.union(root)
 
 
 def records(leaves: DataFrame, numbered: DataFrame, ip_version: int = 4) -> DataFrame:

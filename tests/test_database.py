@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from netweave.database import Database
 from netweave.errors import LoadError, RejectedInserts
-from netweave.functions.address import V4, address_key, cover_range, format_network, parse_network
+from netweave.functions.address import V4, address_key, cover_range, format_network, network_text, parse_network, space_for, split128
 from netweave.functions.values import I32, U16, U32, canonical, decode, encode_column
 from netweave.operators import log as logs
 from netweave.operators import overlay
 from netweave.operators.overlay import flatten, last_write, merge_fold, ordered_fold
-from netweave.operators.lookup import enrich
+from netweave.operators.lookup import enrich, longest_prefix
 from netweave.operators.special import alias_leaves
-from netweave.operators.trie import nodes
+from netweave.operators.trie import nodes, numbered_nodes
 from netweave.sources import datasource
 from netweave.sources.decode import MmdbFile
 
@@ -228,6 +228,47 @@ def test_last_write_equals_merge_fold(spark):
     assert nodes(flatten(log, 4)).count() > 1
 
 
+@pytest.mark.parametrize("version", [4, 6])
+@pytest.mark.parametrize("bucket_rows", [8_000, 2])
+def test_node_numbers_are_those_of_a_walk(spark, version, bucket_rows, monkeypatch):
+    monkeypatch.setattr(overlay, "BUCKET_ROWS", bucket_rows)
+    rng, space = random.Random(3), space_for(version)
+    blocks = {(rng.randrange(1 << 6) << space.width - 6, 6) for _ in range(20)}
+    blocks |= {(b + (rng.randrange(1 << 4) << space.width - 10), 10) for b, _ in sorted(blocks)[::2]} if version == 4 else {(b + 5, 128) for b, _ in sorted(blocks)[::2]}
+    # Leaves are disjoint: what holds another block is left out.
+    flat = sorted((b, n) for b, n in blocks if not any(m > n and c >> space.width - n == b >> space.width - n for c, m in blocks))
+    key = (lambda b: b) if version == 4 else split128
+    leaves = spark.createDataFrame([(key(b), n) for b, n in flat], f"base {space.key_type}, plen int")
+    above = {(b >> space.width - d << space.width - d, d) for b, n in flat for d in range(n)}
+    want = {(n, b, d) for n, (b, d) in enumerate(sorted(above))}
+    got = [(r["node_id"], space.number(r["base"]), r["depth"]) for r in numbered_nodes(leaves, version).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sorted((space.number(r["base"]), r["depth"]) for r in nodes(leaves, version).collect()) == sorted(above)
+    whole = spark.createDataFrame([(key(0), 0)], leaves.schema)
+    for few in (whole, whole.limit(0)):
+        assert [(r["node_id"], r["depth"]) for r in numbered_nodes(few, version).collect()] == [(0, 0)]
+
+
+def test_keys_beside_unreadable_addresses_are_exact(spark):
+    texts = ["2a00:1:8000::1", "1.2.3.4", None, "nonsense", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:fffe"]
+    keys = [r["k"] for r in spark.createDataFrame([(t,) for t in texts], "ip string").coalesce(1).select(address_key(F.col("ip"), 6).alias("k")).collect()]
+    assert [k and space_for(6).number(k) for k in keys] == [int(ipaddress.ip_address(t)) if t and t != "nonsense" else None for t in texts]
+
+
+def test_networks_beside_unreadable_ones_are_exact(spark):
+    texts = ["1.2.3.4/32", None, "2a00::1:0:0:1/128", "nonsense"]
+    rows = logs.from_networks(spark.createDataFrame(list(enumerate(texts)), "seq long, network string").coalesce(1), "network", 6)
+    found = rows.select("seq", network_text(F.col("start"), F.col("plen"), 6).alias("text"), "code").orderBy("seq").collect()
+    assert [(r["text"], r["code"] is None) for r in found] == [("1.2.3.4/32", True), (None, False), ("2a00::1:0:0:1/128", True), (None, False)]
+
+
+def test_longest_prefix_of_repeated_and_null_addresses(spark):
+    probes = spark.createDataFrame([(1, 5, "x"), (2, 5, "y"), (3, None, "z"), (4, 1 << 31, None)], "__row long, ip long, best string")
+    prefixes = spark.createDataFrame([(0, 8, "a"), (0, 24, "b")], "start long, plen int, value string")
+    got = sorted((r["__row"], r["best"], r["plen"], r["value"]) for r in longest_prefix(probes, prefixes).collect())
+    assert got == [(1, "x", 24, "b"), (2, "y", 24, "b"), (3, "z", None, None), (4, None, None, None)]
+
+
 @pytest.mark.parametrize("bucket_rows", [8_000, 3])
 def test_lookups_in_both_spaces(spark, bucket_rows, monkeypatch):
     monkeypatch.setattr(overlay, "BUCKET_ROWS", bucket_rows)
