@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -47,36 +48,57 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/netweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _planning:
-        _written.append(path)
+    if _chain.planning:
+        _chain.written[path] = _modified(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: What the stages of a pipeline have written for themselves, and whether a stage is being planned.
-_written: list[str] = []
-_planning = False
+class _Chain(threading.local):
+    """What the stages of a pipeline have written for themselves on this thread, with the times, and whether a stage is being planned."""
+
+    def __init__(self):
+        self.written: dict[str, int] = {}
+        self.planning = False
+
+
+_chain = _Chain()
+
+
+def _store(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _modified(spark: SparkSession, path: str) -> int:
+    store, found = _store(spark, path)
+    return store.getFileStatus(found).getModificationTime()
 
 
 @contextmanager
 def stage(docs: DataFrame) -> Iterator[None]:
     """Around a stage whose predecessor's rows have been written: what earlier stages wrote for themselves is removed.
 
-    Folders that ``docs`` still reads stay, for a caller that passes a stage's
-    rows on unwritten. Only what is written within stages is ever removed.
+    Only what is older than all that ``docs`` reads, and that it does not read
+    itself, is removed: rows written later than that came from it. Rows that
+    are older than all of it, or in memory, begin a chain of their own, and
+    what the chain before wrote stays for whoever still holds its result.
     """
-    global _planning
     spark = docs.sparkSession
-    if _written:
-        read = docs.inputFiles()
-        for path in [p for p in _written if not any(f"/{p.rpartition('/')[2]}/" in f for f in read)]:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-            _written.remove(path)
-    _planning = True
+    if _chain.written:
+        folders = {f.rpartition("/")[0] for f in docs.inputFiles()}
+        since = min((_modified(spark, f) for f in folders), default=0)
+        done = [p for p, at in _chain.written.items() if at < since and not any(f.endswith("/" + p.rpartition("/")[2]) for f in folders)]
+        for path in done:
+            store, found = _store(spark, path)
+            store.delete(found, True)
+            del _chain.written[path]
+        if since < min(_chain.written.values(), default=since):
+            _chain.written.clear()
+    outer, _chain.planning = _chain.planning, True
     try:
         yield
     finally:
-        _planning = False
+        _chain.planning = outer
 
 
 def inline_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:

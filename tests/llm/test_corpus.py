@@ -705,12 +705,22 @@ def test_stages_remove_what_is_written_for_earlier_ones(spark, documents):
 
     corpus_pipeline.run(spark, DATA).count()
     # The last stage's own file is what is left of all stages.
-    assert len(common._written) == 1
+    assert len(common._chain.written) == 1
     unwritten = corpus_pipeline.drop_exact_copies(spark, documents.limit(50), DATA)
     passed_on = corpus_pipeline.drop_near_copies(spark, unwritten, DATA)
     assert passed_on.count() <= unwritten.count()
 
 
+def test_stages_keep_what_other_results_read(spark, documents):
+    import corpus_pipeline
+
+    held = [corpus_pipeline.drop_exact_copies(spark, documents.limit(n), DATA) for n in (50, 40)]
+    in_memory = spark.createDataFrame(documents.limit(30).collect(), documents.schema)
+    held += [corpus_pipeline.drop_exact_copies(spark, in_memory, DATA) for _ in range(2)]
+    counts = [0 < d.count() <= n for d, n in zip(held, (50, 40, 30, 30), strict=True)]
+    assert all(counts)
+
+
 def test_pipeline_of_an_empty_table(spark, documents):
     import corpus_pipeline
 
