@@ -10,12 +10,16 @@ the logit.
 Thresholds are calibrated by language: for each language the logit that
 separates a held-back part of the training rows best. As the label columns
 must not enter a score, the language of a text is told from its words alone,
-by naive Bayes over hashed words learned from the same sample. A score is the
+by naive Bayes over hashed words learned from the same rows. A score is the
 logistic of the logit less that language's threshold, so 0.5 is the threshold
 everywhere.
 
-Learned from a bounded sample: the first ``PER_CLASS`` rows of each label by a
-hash of the id, whose crc32(id) mod 5 is not 0; their whole texts are used.
+Learned from all labelled rows whose crc32(id) mod 5 is not 0, whole texts.
+The net starts from up to ``PER_CLASS`` rows of each label; then every task
+goes once through all of its rows from there, and the changes of all tasks are
+averaged by their rows. Words of languages are counted over all rows, and
+thresholds are found on all of a quarter of them, by a hash of the id, that
+the net does not learn from, with logits counted in steps of 1 / ``GRID``.
 
 Word stems and the rate were chosen on a fifth of the training rows of 0.1 GB
 of documents (crc32(id) mod 5 = 1), the model learning from the rest: with
@@ -32,7 +36,8 @@ every score is 0. A table without rows gives none.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -60,6 +65,10 @@ LANG_TABLE = 1 << 14
 MEMORY = 400_000
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|_-…“”«»¿¡"
 _CHUNK = 1 << 16
+#: Steps of a logit, and its bounds, where logits are counted.
+GRID, FARTHEST = 64, 60.0
+#: Numbers of the net in one row of what tasks return.
+PART = 1 << 17
 
 
 class WordPlaces(dict):
@@ -144,6 +153,28 @@ class ConvNet:
                 step += 1
                 self._adam(grads, rows, state, step)
 
+    def learn(self, docs: Iterable[tuple[np.ndarray, int]], weights: dict[int, float]) -> int:
+        """One pass in the order given; the number of texts."""
+        state = [[np.zeros_like(p) for p in self._params()] for _ in range(2)]
+        docs, step, n = iter(docs), 0, 0
+        while batch := list(islice(docs, BATCH)):
+            grads = [np.zeros_like(p) for p in self._params()[VIEWS:]]
+            rows: list[dict] = [{} for _ in range(VIEWS)]
+            for places, label in batch:
+                self._backward(places, label, weights[label] / BATCH, grads, rows)
+            step, n = step + 1, n + len(batch)
+            self._adam(grads, rows, state, step)
+        return n
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self._params()])
+
+    def move(self, change: np.ndarray) -> None:
+        at = 0
+        for p in self._params():
+            p += change[at : at + p.size].reshape(p.shape).astype(np.float32)
+            at += p.size
+
     def _params(self) -> list[np.ndarray]:
         return [*self.embed, *self.filters, *self.bias, self.out, self.out_bias]
 
@@ -187,11 +218,10 @@ class ConvNet:
 class WordLanguage:
     """Naive Bayes over hashed words: which language's threshold applies to a text."""
 
-    def __init__(self, docs: list[np.ndarray], langs: list[str]):
-        self.names = sorted(set(langs))
-        counts = np.full((LANG_TABLE, len(self.names)), 0.5, dtype=np.float64)
-        for places, lang in zip(docs, langs, strict=True):
-            np.add.at(counts[:, self.names.index(lang)], places & (LANG_TABLE - 1), 1)
+    def __init__(self, counted: dict[str, np.ndarray]):
+        self.names = sorted(counted)
+        self.words = sum(x.sum() for x in counted.values())
+        counts = np.stack([counted[name] for name in self.names], axis=1) + 0.5
         self.table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
     def guess(self, places: np.ndarray) -> int:
@@ -202,21 +232,21 @@ class WordLanguage:
 
 
 class ToxicityModel:
-    def __init__(self, texts: list[str], labels: list[int], langs: list[str]):
-        docs, y = [word_places(t) for t in texts], np.array(labels)
-        hold = np.arange(len(docs)) % 4 == 3
-        self.net = ConvNet()
-        fit = np.flatnonzero(~hold)
-        self.net.train([docs[i] for i in fit], y[fit])
-        self.language = WordLanguage(docs, langs)
-        logits = np.array([self.net.logit(d) for d in docs])
-        spoken = np.array([self.language.guess(d) for d in docs])
-        overall = best_threshold(logits[hold], y[hold], 0.0)
-        self.thresholds = np.full(len(self.language.names), overall)
+    def __init__(self, net: ConvNet, language: WordLanguage):
+        self.net, self.language = net, language
+        self.thresholds = np.zeros(len(language.names))
+
+    def calibrate(self, found: list[tuple[int, int, float, int]]) -> None:
+        """Thresholds from (language, label, logit, rows) of texts that the net has not learned from."""
+        if not found:
+            return
+        spoken, y, z, n = (np.array(x) for x in zip(*found, strict=True))
+        overall = best_threshold(z, y, 0.0, n)
+        self.thresholds[:] = overall
         for k in range(len(self.thresholds)):
-            at = hold & (spoken == k)
-            if (y[at] == 1).sum() >= 5 and (y[at] == 0).sum() >= 5:
-                self.thresholds[k] = best_threshold(logits[at], y[at], overall)
+            at = spoken == k
+            if n[at & (y == 1)].sum() >= 5 and n[at & (y == 0)].sum() >= 5:
+                self.thresholds[k] = best_threshold(z[at], y[at], overall, n[at])
 
     def score(self, text: str | None) -> float:
         places = word_places(text)
@@ -224,14 +254,15 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray, default: float) -> float:
-    """The cut with the fewest balanced errors; the middle of the best gap."""
+def best_threshold(logits: np.ndarray, labels: np.ndarray, default: float, rows: np.ndarray | None = None) -> float:
+    """The cut with the fewest balanced errors; the middle of the best gap. ``rows``: how many rows each logit stands for."""
     if not len(logits) or labels.min() == labels.max():
         return default
     order = np.argsort(logits)
     z, y = logits[order], labels[order]
-    missed = np.concatenate([[0], np.cumsum(y == 1)]) / (y == 1).sum()
-    false = 1 - np.concatenate([[0], np.cumsum(y == 0)]) / (y == 0).sum()
+    n = np.ones(len(z), dtype=np.int64) if rows is None else rows[order]
+    missed = np.concatenate([[0], np.cumsum(n * (y == 1))]) / n[y == 1].sum()
+    false = 1 - np.concatenate([[0], np.cumsum(n * (y == 0))]) / n[y == 0].sum()
     edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
     error = missed + false
     ties = np.flatnonzero(error <= error.min() + 1e-12)
@@ -239,17 +270,83 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray, default: float) -> fl
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fold: int = 0, folds: int = 5) -> ToxicityModel | None:
-    """Learn from at most ``per_class`` labelled rows of each class."""
+    """Learn from all labelled rows; the net starts from at most ``per_class`` of each class."""
+    context = documents.sparkSession.sparkContext
     given = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != fold))
     given = given.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    given = given.withColumn("held", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(13)), F.lit(4)) == 3)
+    count = {(r["held"], r["toxic"]): r["count"] for r in given.groupBy("held", "toxic").count().collect()}
+    if any(not count.get((False, label)) for label in (0, 1)):
+        given, count = given.withColumn("held", F.lit(False)), {(False, label): count.get((False, label), 0) + count.get((True, label), 0) for label in (0, 1)}
+    total = count.get((False, 0), 0) + count.get((False, 1), 0)
+    weights = {label: total / (2 * max(1, count.get((False, label), 0))) for label in (0, 1)}
+
+    def texts(ids: DataFrame) -> DataFrame:
+        found = documents.select("doc_id", "text", "lang").join(ids, "doc_id").groupBy(*ids.columns).agg(F.min(F.struct("text", "lang")).alias("one"))
+        return found.select(F.col("doc_id").cast("string").alias("id"), *ids.columns[1:], F.coalesce("one.text", F.lit("")).alias("text"), F.coalesce("one.lang", F.lit("")).alias("lang"))
+
     # At most 2 * per_class ids, each with one text: small by construction.
-    chosen = bounded_sample(given, "doc_id", "toxic", per_class)
-    texts = documents.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("one"))
-    rows = [(str(r["doc_id"]), r["toxic"], r["one"]["lang"] or "", r["one"]["text"] or "") for r in texts.collect()]
+    chosen = F.broadcast(bounded_sample(given.where("NOT held"), "doc_id", "toxic", per_class))
+    rows = [(r["id"], r["toxic"], r["text"]) for r in texts(chosen).collect()]
     rows.sort(key=lambda r: (hash_order(r[0]), r))
     if len({r[1] for r in rows}) < 2:
         return None
-    return ToxicityModel([r[3] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+    net = ConvNet()
+    net.train([word_places(r[2]) for r in rows], np.array([r[1] for r in rows]))
+    start = context.broadcast(net)
+
+    def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import copy
+
+        own, counted = copy.deepcopy(start.value), {}
+
+        def docs() -> Iterator[tuple[np.ndarray, int]]:
+            for batch in batches:
+                for text, label, lang, held in zip(batch["text"], batch["toxic"], batch["lang"], batch["held"], strict=True):
+                    places = word_places(text)
+                    if lang not in counted:
+                        counted[lang] = np.zeros(LANG_TABLE, dtype=np.int64)
+                    np.add.at(counted[lang], places & (LANG_TABLE - 1), 1)
+                    if not held:
+                        yield places, int(label)
+
+        n = own.learn(docs(), weights)
+        for lang, words in counted.items():
+            yield pd.DataFrame({"part": [-1], "lang": [lang], "n": [0], "data": [words.astype(np.float64).tobytes()]})
+        change = (own.flat() - start.value.flat()).astype(np.float64) * n
+        for part, at in enumerate(range(0, len(change), PART)):
+            if n:
+                yield pd.DataFrame({"part": [part], "lang": [""], "n": [n], "data": [change[at : at + PART].astype(np.float32).tobytes()]})
+
+    def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        kind = np.float64 if key[0] == -1 else np.float32
+        data = sum(np.frombuffer(x, dtype=kind).astype(np.float64) for x in group["data"])
+        return pd.DataFrame({"part": [key[0]], "lang": [key[1]], "n": [int(group["n"].sum())], "data": [data.tobytes()]})
+
+    schema = "part int, lang string, n long, data binary"
+    ordered = texts(given).sortWithinPartitions(F.xxhash64("id", F.lit(SEED)), "id")
+    sums = ordered.select("text", "toxic", "lang", "held").mapInPandas(learned, schema).groupBy("part", "lang").applyInPandas(added, schema).collect()
+    change, words = np.zeros(len(net.flat())), {}
+    for r in sums:
+        data = np.frombuffer(bytes(r["data"]))
+        if r["part"] == -1:
+            words[r["lang"]] = data
+        else:
+            change[r["part"] * PART : r["part"] * PART + len(data)] = data / r["n"]
+    net.move(change)
+    model = ToxicityModel(net, WordLanguage(words))
+    held = context.broadcast(model)
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = held.value
+        for batch in batches:
+            docs = [word_places(t) for t in batch["text"]]
+            cells = [round(max(-FARTHEST, min(FARTHEST, model.net.logit(d))) * GRID) for d in docs]
+            yield pd.DataFrame({"spoken": [model.language.guess(d) for d in docs], "toxic": batch["toxic"], "cell": cells})
+
+    cells = texts(given.where("held")).select("text", "toxic").mapInPandas(judged, "spoken int, toxic int, cell int").groupBy("spoken", "toxic", "cell").count()
+    model.calibrate(sorted((r["spoken"], r["toxic"], r["cell"] / GRID, r["count"]) for r in cells.collect()))
+    return model
 
 
 def hash_order(key: str) -> int:

@@ -156,3 +156,13 @@ def test_repeated_ids_and_hard_rows(spark, hard):
     found = language_id.predict(hard, language).collect()
     assert len(found) == hard.count() and {(r["doc_id"], r["lang_pred"]) for r in found} >= {(2, "und"), (3, "und")}
     assert language_id.predict(hard.limit(0), language).count() == 0 and language_id.fit(hard.limit(0)) is None
+
+
+def test_toxicity_learns_from_every_row(spark):
+    """A word that only rows beyond the net's first sample hold is learned; languages are counted over all rows."""
+    rows = [(n, f"plain words here {n % 7} and {'vexgrim' if n % 2 else 'there'}", "en" if n % 3 else "de", n % 2) for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"), per_class=1)
+    words = sum(len(r[1].split()) for r in rows if zlib.crc32(str(r[0]).encode()) % 5)
+    assert round(model.language.words) == words
+    assert model.score("plain vexgrim here") > 0.5 > model.score("plain words there")
