@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,6 +101,28 @@ def stage(docs: DataFrame) -> Iterator[None]:
         _chain.planning = outer
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system; both allocators keep it otherwise, for as long as a worker waits for its next task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(function: Callable[[Iterator], Iterator], forget: Callable[[], None] = lambda: None) -> Callable[[Iterator], Iterator]:
+    """``function`` over batches, after whose last one nothing of the task stays in the worker: idle workers' memory counts beside that of later stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        forget()
+        release()
+
+    return run
+
+
 def inline_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """A literal relation of strings and integers, planned as a local relation."""
 

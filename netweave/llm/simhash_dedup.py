@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import materialize, table
+from netweave.llm.common import materialize, table, tidy
 from netweave.llm.components import connected_components
 from netweave.llm.hamming_index import GrayIndex, gray_rank, spanning_links
 
@@ -101,7 +101,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Ids travel as strings, so that nulls among them cannot turn integers into floats.
     rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(each, "doc_id string, fp long").select(F.col("doc_id").cast(kind).alias("doc_id"), "fp")
+    return rows.mapInPandas(tidy(each), "doc_id string, fp long").select(F.col("doc_id").cast(kind).alias("doc_id"), "fp")
 
 
 def _block_keys(code: str, width: int, top: int) -> list:
@@ -163,7 +163,7 @@ def near_links(codes: DataFrame, radius: int = RADIUS, most: int = MOST) -> Data
     def _frame(out) -> pd.DataFrame:
         return pd.DataFrame({"u": np.concatenate([x for x, _ in out]).view(np.int64), "v": np.concatenate([y for _, y in out]).view(np.int64)})
 
-    return keyed.repartition(*key).sortWithinPartitions(*key).mapInPandas(search, "u long, v long")
+    return keyed.repartition(*key).sortWithinPartitions(*key).mapInPandas(tidy(search), "u long, v long")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST) -> DataFrame:
@@ -239,7 +239,7 @@ def _set_prints(rows: DataFrame, shingle: int) -> DataFrame:
                 out.append((row, code - ((code >> 63) << 64), set_fingerprint(s), len(s), band_keys(s)))
             yield pd.DataFrame(out, columns=["row", "code", "fp", "size", "bands"])
 
-    return rows.mapInPandas(each, "row long, code long, fp long, size int, bands array<long>")
+    return rows.mapInPandas(tidy(each), "row long, code long, fp long, size int, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
@@ -256,7 +256,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float)
             yield batch.loc[stays, ["u", "v"]]
 
     full = pairs.join(texts.select(F.col("code").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("code").alias("u"), F.col("text").alias("a")), "u")
-    return materialize(full.select("u", "v", "a", "b").sortWithinPartitions("u").mapInPandas(each, "u long, v long"))
+    return materialize(full.select("u", "v", "a", "b").sortWithinPartitions("u").mapInPandas(tidy(each), "u long, v long"))
 
 
 def bucket_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +358,7 @@ def _searched(open_: DataFrame, sets: DataFrame, similar: float, radius: int, bl
         if held is not None:
             yield pairs(held)
 
-    return full.repartition(*group).sortWithinPartitions(*group).mapInPandas(search, "u long, v long")
+    return full.repartition(*group).sortWithinPartitions(*group).mapInPandas(tidy(search), "u long, v long")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -369,7 +369,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
             found = [shingle_set(t, shingle) for t in batch["text"]]
             yield pd.DataFrame({"code": batch["code"], "bands": [band_keys(s) for s in found], "members": [s.view(np.int64) for s in found]})
 
-    return texts.select("code", "text").mapInPandas(each, "code long, bands array<long>, members array<long>")
+    return texts.select("code", "text").mapInPandas(tidy(each), "code long, bands array<long>, members array<long>")
 
 
 def _similar_groups(rows: DataFrame, shingle: int, similar: float, radius: int, block: int) -> DataFrame:

@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import bounded_sample, table
+from netweave.llm.common import bounded_sample, release, table, tidy
 
 PER_CLASS = 1500
 TABLE_BITS = 17
@@ -89,6 +89,11 @@ class WordPlaces(dict):
 _places = WordPlaces()
 
 
+def forget() -> None:
+    """Words are kept for one task only: a worker that waits for its next one should hold nothing."""
+    _places.clear()
+
+
 def word_places(text: str | None) -> np.ndarray:
     words = (text or "").lower().split()
     return np.fromiter(map(_places.__getitem__, words), dtype=np.int64, count=len(words))
@@ -293,6 +298,9 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
         return None
     net = ConvNet()
     net.train([word_places(r[2]) for r in rows], np.array([r[1] for r in rows]))
+    del rows
+    forget()
+    release()
     start = context.broadcast(net)
 
     def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,10 +321,12 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
         n = own.learn(docs(), weights)
         for lang, words in counted.items():
             yield pd.DataFrame({"part": [-1], "lang": [lang], "n": [0], "data": [words.astype(np.float64).tobytes()]})
-        change = (own.flat() - start.value.flat()).astype(np.float64) * n
+        change = own.flat()
+        change -= start.value.flat()
         for part, at in enumerate(range(0, len(change), PART)):
             if n:
-                yield pd.DataFrame({"part": [part], "lang": [""], "n": [n], "data": [change[at : at + PART].astype(np.float32).tobytes()]})
+                data = (change[at : at + PART].astype(np.float64) * n).astype(np.float32)
+                yield pd.DataFrame({"part": [part], "lang": [""], "n": [n], "data": [data.tobytes()]})
 
     def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         kind = np.float64 if key[0] == -1 else np.float32
@@ -325,7 +335,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
 
     schema = "part int, lang string, n long, data binary"
     ordered = texts(given).sortWithinPartitions(F.xxhash64("id", F.lit(SEED)), "id")
-    sums = ordered.select("text", "toxic", "lang", "held").mapInPandas(learned, schema).groupBy("part", "lang").applyInPandas(added, schema).collect()
+    sums = ordered.select("text", "toxic", "lang", "held").mapInPandas(tidy(learned, forget), schema).groupBy("part", "lang").applyInPandas(added, schema).collect()
     change, words = np.zeros(len(net.flat())), {}
     for r in sums:
         data = np.frombuffer(bytes(r["data"]))
@@ -333,7 +343,10 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
             words[r["lang"]] = data
         else:
             change[r["part"] * PART : r["part"] * PART + len(data)] = data / r["n"]
+    start.unpersist()
     net.move(change)
+    del sums, change
+    release()
     model = ToxicityModel(net, WordLanguage(words))
     held = context.broadcast(model)
 
@@ -344,8 +357,9 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
             cells = [round(max(-FARTHEST, min(FARTHEST, model.net.logit(d))) * GRID) for d in docs]
             yield pd.DataFrame({"spoken": [model.language.guess(d) for d in docs], "toxic": batch["toxic"], "cell": cells})
 
-    cells = texts(given.where("held")).select("text", "toxic").mapInPandas(judged, "spoken int, toxic int, cell int").groupBy("spoken", "toxic", "cell").count()
+    cells = texts(given.where("held")).select("text", "toxic").mapInPandas(tidy(judged, forget), "spoken int, toxic int, cell int").groupBy("spoken", "toxic", "cell").count()
     model.calibrate(sorted((r["spoken"], r["toxic"], r["cell"] / GRID, r["count"]) for r in cells.collect()))
+    held.unpersist()
     return model
 
 
@@ -367,7 +381,7 @@ def score(df: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", te
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.array([0.0 if model is None else model.score(t) for t in batch["text"]], dtype=np.float64)})
 
     rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(each, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return rows.mapInPandas(tidy(each, forget), "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def drop_toxic(df: DataFrame, model: ToxicityModel | None, text_col: str = "text", limit: float = 0.5) -> DataFrame:
@@ -375,9 +389,13 @@ def drop_toxic(df: DataFrame, model: ToxicityModel | None, text_col: str = "text
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        model = held.value
-        return pd.Series([0.0 if model is None else model.score(t) for t in texts], dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = held.value
+            for texts in batches:
+                yield pd.Series([0.0 if model is None else model.score(t) for t in texts], dtype="float64")
+
+        yield from tidy(each, forget)(batches)
 
     return df.where(scored(F.col(text_col)) < limit)
 

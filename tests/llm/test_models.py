@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,38 @@ def test_toxicity_learns_from_every_row(spark):
     words = sum(len(r[1].split()) for r in rows if zlib.crc32(str(r[0]).encode()) % 5)
     assert round(model.language.words) == words
     assert model.score("plain vexgrim here") > 0.5 > model.score("plain words there")
+
+
+def test_workers_keep_nothing_of_a_task(spark, monkeypatch):
+    # Word places, and freed memory that the allocators keep, count beside the memory of later stages.
+    import os
+
+    from netweave.llm import toxicity
+    from netweave.llm.common import tidy
+
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    net = toxicity.ConvNet()
+    model = toxicity.ToxicityModel(net, toxicity.WordLanguage({"en": np.ones(toxicity.LANG_TABLE)}))
+    docs = spark.createDataFrame([(k, " ".join(f"word{k}x{j}" for j in range(50))) for k in range(200)], "doc_id long, text string").coalesce(1)
+
+    def places(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(toxicity._places)] * len(batch)})
+
+    assert toxicity.drop_toxic(docs, model, limit=2.0).count() == 200
+    assert toxicity.score(docs, model).count() == 200
+    assert set(docs.coalesce(1).mapInPandas(places, "n long").toPandas()["n"]) == {0}
+
+    before, most = resident(), []
+
+    def each(batches):
+        held = [bytes(1000) for _ in range(100_000)]
+        most.append(resident())
+        yield from batches
+        held.clear()
+
+    assert list(tidy(each, toxicity.forget)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < (most[0] - before) / 2
