@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def _modified(spark: SparkSession, path: str) -> int:
 
 @contextmanager
 def stage(docs: DataFrame) -> Iterator[None]:
-    """Around a stage whose predecessor's rows have been written: what earlier stages wrote for themselves is removed.
+    """Around a stage whose predecessor's rows have been written: what earlier stages wrote for themselves is removed, and the driver's memory given back.
 
     Only what is older than all that ``docs`` reads, and that it does not read
     itself, is removed: rows written later than that came from it. Rows that
@@ -94,6 +96,7 @@ def stage(docs: DataFrame) -> Iterator[None]:
             del _chain.written[path]
         if since < min(_chain.written.values(), default=since):
             _chain.written.clear()
+    release_driver(spark)
     outer, _chain.planning = _chain.planning, True
     try:
         yield
@@ -112,6 +115,31 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_driver(spark: SparkSession) -> None:
+    """As ``release``, for both processes of the driver.
+
+    Its JVM drops what nobody holds any more (broadcasts, shuffles, plans),
+    shrinks its heap, and gives back what planning and compiling have freed.
+    """
+    gc.collect()
+    release()
+    spark._jvm.java.lang.System.gc()
+    with suppress(Py4JError):  # not every JVM has the command
+        trim_native_heap(spark)
+
+
+def trim_native_heap(spark: SparkSession) -> str:
+    """What the driver's JVM has allocated beside its heap and freed goes back to the system."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    command = [jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", new_array(jvm.Object, 0), new_array(jvm.String, 0)]
+    given = new_array(jvm.Object, len(command))
+    for k, x in enumerate(command):
+        given[k] = x
+    # The server's own class is not open to calls from here, its interface is.
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 def tidy(function: Callable[[Iterator], Iterator], forget: Callable[[], None] = lambda: None) -> Callable[[Iterator], Iterator]:
     """``function`` over batches, after whose last one nothing of the task stays in the worker: idle workers' memory counts beside that of later stages."""
 

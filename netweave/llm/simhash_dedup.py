@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import materialize, table, tidy
+from netweave.llm.common import materialize, release_driver, table, tidy
 from netweave.llm.components import connected_components
 from netweave.llm.hamming_index import GrayIndex, gray_rank, spanning_links
 
@@ -397,6 +397,7 @@ def _similar_groups(rows: DataFrame, shingle: int, similar: float, radius: int,
             more = materialize(_searched(open_, sets, similar, radius, block).distinct())
         links = more if links is None else links.union(more)
         roots = connected_components(links)
+        release_driver(rows.sparkSession)
     return prints.join(roots.withColumnRenamed("node", "code"), "code", "left").select("row", "code", F.coalesce("root", "code").alias("root"))
 
 

@@ -15,9 +15,10 @@ logistic of the logit less that language's threshold, so 0.5 is the threshold
 everywhere.
 
 Learned from all labelled rows whose crc32(id) mod 5 is not 0, whole texts.
-The net starts from up to ``PER_CLASS`` rows of each label; then every task
-goes once through all of its rows from there, and the changes of all tasks are
-averaged by their rows. Words of languages are counted over all rows, and
+The net starts from up to ``PER_CLASS`` rows of each label, in one task; then
+every task goes once through all of its rows from there, and the changes of all
+tasks are averaged by their rows. The driver reads a net that tasks have
+written some pieces at a time; no text comes to it. Words of languages are counted over all rows, and
 thresholds are found on all of a quarter of them, by a hash of the id, that
 the net does not learn from, with logits counted in steps of 1 / ``GRID``.
 
@@ -41,10 +42,10 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from netweave.llm.common import bounded_sample, release, table, tidy
+from netweave.llm.common import bounded_sample, materialize, release_driver, table, tidy
 
 PER_CLASS = 1500
 TABLE_BITS = 17
@@ -67,8 +68,9 @@ _STRIP = ".,;:!?\"'()[]{}<>*#$%&|_-…“”«»¿¡"
 _CHUNK = 1 << 16
 #: Steps of a logit, and its bounds, where logits are counted.
 GRID, FARTHEST = 64, 60.0
-#: Numbers of the net in one row of what tasks return.
-PART = 1 << 17
+#: Numbers of the net in one row of what tasks return, and such rows that the driver reads at once.
+PART, AT_ONCE = 1 << 16, 8
+PIECES = "part int, lang string, n long, data binary"
 
 
 class WordPlaces(dict):
@@ -177,9 +179,18 @@ class ConvNet:
     def move(self, change: np.ndarray) -> None:
         at = 0
         for p in self._params():
-            p += change[at : at + p.size].reshape(p.shape).astype(np.float32)
+            p += change[at : at + p.size].reshape(p.shape)
             at += p.size
 
+    def put(self, numbers: np.ndarray) -> None:
+        at = 0
+        for p in self._params():
+            p[...] = numbers[at : at + p.size].reshape(p.shape)
+            at += p.size
+
+    def size(self) -> int:
+        return sum(p.size for p in self._params())
+
     def _params(self) -> list[np.ndarray]:
         return [*self.embed, *self.filters, *self.bias, self.out, self.out_bias]
 
@@ -274,6 +285,17 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray, default: float, rows:
     return float(edges[ties[len(ties) // 2]])
 
 
+def pieces(numbers: np.ndarray, n: int = 0) -> Iterator[pd.DataFrame]:
+    for part, at in enumerate(range(0, len(numbers), PART)):
+        yield pd.DataFrame({"part": [part], "lang": [""], "n": [n], "data": [numbers[at : at + PART].tobytes()]})
+
+
+def gathered(rows: DataFrame, size: int) -> Iterator[Row]:
+    """The rows of ``PIECES`` that tasks have written for ``size`` numbers, ``AT_ONCE`` parts at a time: the driver holds no more of them."""
+    for at in range(-1, -(-size // PART), AT_ONCE):
+        yield from rows.where(F.col("part").between(at, at + AT_ONCE - 1)).collect()
+
+
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fold: int = 0, folds: int = 5) -> ToxicityModel | None:
     """Learn from all labelled rows; the net starts from at most ``per_class`` of each class."""
     context = documents.sparkSession.sparkContext
@@ -290,17 +312,28 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
         found = documents.select("doc_id", "text", "lang").join(ids, "doc_id").groupBy(*ids.columns).agg(F.min(F.struct("text", "lang")).alias("one"))
         return found.select(F.col("doc_id").cast("string").alias("id"), *ids.columns[1:], F.coalesce("one.text", F.lit("")).alias("text"), F.coalesce("one.lang", F.lit("")).alias("lang"))
 
+    def begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for batch in batches for r in zip(batch["id"], batch["toxic"].tolist(), batch["text"], strict=True)]
+        rows.sort(key=lambda r: (hash_order(r[0]), r))
+        if len({r[1] for r in rows}) == 2:
+            net = ConvNet()
+            net.train([word_places(r[2]) for r in rows], np.array([r[1] for r in rows]))
+            yield from pieces(net.flat())
+
     # At most 2 * per_class ids, each with one text: small by construction.
     chosen = F.broadcast(bounded_sample(given.where("NOT held"), "doc_id", "toxic", per_class))
-    rows = [(r["id"], r["toxic"], r["text"]) for r in texts(chosen).collect()]
-    rows.sort(key=lambda r: (hash_order(r[0]), r))
-    if len({r[1] for r in rows}) < 2:
-        return None
+    first = materialize(texts(chosen).select("id", "toxic", "text").repartition(1).mapInPandas(tidy(begun, forget), PIECES))
     net = ConvNet()
-    net.train([word_places(r[2]) for r in rows], np.array([r[1] for r in rows]))
-    del rows
-    forget()
-    release()
+    numbers = np.zeros(net.size(), dtype=np.float32)
+    found = 0
+    for r in gathered(first, len(numbers)):
+        data = np.frombuffer(r["data"], dtype=np.float32)
+        numbers[r["part"] * PART : r["part"] * PART + len(data)] = data
+        found += len(data)
+    if not found:
+        return None
+    net.put(numbers)
+    release_driver(documents.sparkSession)
     start = context.broadcast(net)
 
     def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -323,30 +356,29 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
             yield pd.DataFrame({"part": [-1], "lang": [lang], "n": [0], "data": [words.astype(np.float64).tobytes()]})
         change = own.flat()
         change -= start.value.flat()
-        for part, at in enumerate(range(0, len(change), PART)):
-            if n:
-                data = (change[at : at + PART].astype(np.float64) * n).astype(np.float32)
-                yield pd.DataFrame({"part": [part], "lang": [""], "n": [n], "data": [data.tobytes()]})
+        if n:
+            for at in range(0, len(change), PART):
+                change[at : at + PART] = change[at : at + PART].astype(np.float64) * n
+            yield from pieces(change, n)
 
     def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        kind = np.float64 if key[0] == -1 else np.float32
-        data = sum(np.frombuffer(x, dtype=kind).astype(np.float64) for x in group["data"])
-        return pd.DataFrame({"part": [key[0]], "lang": [key[1]], "n": [int(group["n"].sum())], "data": [data.tobytes()]})
+        """Of a part of the net the mean change, of a language the counts."""
+        words, n = key[0] == -1, int(group["n"].sum())
+        data = sum(np.frombuffer(x, dtype=np.float64 if words else np.float32).astype(np.float64) for x in group["data"])
+        return pd.DataFrame({"part": [key[0]], "lang": [key[1]], "n": [n], "data": [(data if words else (data / n).astype(np.float32)).tobytes()]})
 
-    schema = "part int, lang string, n long, data binary"
     ordered = texts(given).sortWithinPartitions(F.xxhash64("id", F.lit(SEED)), "id")
-    sums = ordered.select("text", "toxic", "lang", "held").mapInPandas(tidy(learned, forget), schema).groupBy("part", "lang").applyInPandas(added, schema).collect()
-    change, words = np.zeros(len(net.flat())), {}
-    for r in sums:
-        data = np.frombuffer(bytes(r["data"]))
+    sums = materialize(ordered.select("text", "toxic", "lang", "held").mapInPandas(tidy(learned, forget), PIECES).groupBy("part", "lang").applyInPandas(added, PIECES))
+    numbers[:], words = 0, {}
+    for r in gathered(sums, len(numbers)):
         if r["part"] == -1:
-            words[r["lang"]] = data
+            words[r["lang"]] = np.frombuffer(bytes(r["data"]))
         else:
-            change[r["part"] * PART : r["part"] * PART + len(data)] = data / r["n"]
-    start.unpersist()
-    net.move(change)
-    del sums, change
-    release()
+            data = np.frombuffer(r["data"], dtype=np.float32)
+            numbers[r["part"] * PART : r["part"] * PART + len(data)] = data
+    start.destroy()
+    net.move(numbers)
+    del numbers
     model = ToxicityModel(net, WordLanguage(words))
     held = context.broadcast(model)
 
@@ -359,7 +391,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
 
     cells = texts(given.where("held")).select("text", "toxic").mapInPandas(tidy(judged, forget), "spoken int, toxic int, cell int").groupBy("spoken", "toxic", "cell").count()
     model.calibrate(sorted((r["spoken"], r["toxic"], r["cell"] / GRID, r["count"]) for r in cells.collect()))
-    held.unpersist()
+    held.destroy()
+    release_driver(documents.sparkSession)
     return model
 
 

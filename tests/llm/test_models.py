@@ -202,3 +202,34 @@ def test_workers_keep_nothing_of_a_task(spark, monkeypatch):
 
     assert list(tidy(each, toxicity.forget)(iter([1, 2]))) == [1, 2]
     assert resident() - before < (most[0] - before) / 2
+
+
+def test_driver_holds_little_of_a_training(spark, monkeypatch):
+    # Texts of a training and whole nets in one result made the driver's heap grow by over 100 MB.
+    from netweave.llm import toxicity
+
+    docs = spark.createDataFrame([(k, f"plain words {'vexgrim' if k % 3 == 0 else 'there'} {k}", "en", int(k % 3 == 0)) for k in range(60)], "doc_id long, text string, lang string, toxic int")
+    frame, sizes = type(docs), []
+
+    def collect(self, whole=frame.collect):
+        rows = whole(self)
+        assert "text" not in self.columns
+        sizes.append(sum(len(v) for r in rows for v in r if isinstance(v, str | bytes | bytearray)))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", collect)
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    assert model.score("plain vexgrim here") > 0.5 > model.score("plain words there")
+    bound = 4 * toxicity.PART * toxicity.AT_ONCE
+    assert bound <= 1 << 21 and max(sizes) <= bound
+    assert sum(sizes) >= 2 * 4 * model.net.size()
+
+
+def test_driver_gives_memory_back_before_a_stage(spark, monkeypatch):
+    from netweave.llm import common
+
+    assert "native heap" in common.trim_native_heap(spark)
+    asked = []
+    monkeypatch.setattr(common, "trim_native_heap", asked.append)
+    with common.stage(spark.range(1)):
+        assert asked == [spark]
