@@ -7,7 +7,7 @@ import pytest
 
 from netweave.functions.values import U32, canonical, fold_values
 from netweave.operators import nested, overlay
-from netweave.operators.overlay import merge_fold, resolved_segments
+from netweave.operators.overlay import merge_fold, nested_fold, resolved_segments
 
 VALUES = [{"a": U32(1)}, {"a": {"x": U32(2)}}, {"a": {"x": U32(3), "y": ["p"]}}, {"b": ["q", U32(4)]}, {"b": ["r"], "c": {}}, {"c": {"d": {"e": "f"}}}, {"c": "g"}, {"b": []}, {}, U32(5), ["s"]]
 
@@ -51,3 +51,26 @@ def test_each_insert_is_read_once(monkeypatch):
     out = pa.Table.from_batches(nested.segments(iter([batch]), 32, [0], nested.MergeBytes(), pa.binary())).to_pylist()
     assert len(read) == 500 and len(out) == 201
     assert out[-1]["value"] == canonical({"t": [str(n) for n in range(300)]})
+
+
+def test_appended_arrays_as_text(spark, monkeypatch):
+    """The text is put together from the text of the block around; before, every segment gave back its strings one by one."""
+    monkeypatch.setattr(overlay, "BUCKET_ROWS", 8)
+    rng = random.Random(7)
+    pool = [[], ["a"], ["", "é,"], [None, "b"], None, ["c", "d", "e"]]
+    for n in (1, 30, 120):
+        rows = []
+        for seq in rng.sample(range(10 * n), n):
+            plen = rng.choice((0, 2, 3, 4, 30, 32))
+            start = rng.randrange(1 << 5) * 0x08000001 & 0xFFFFFFFF
+            value = rng.choice(pool)
+            rows.append((seq, start >> (32 - plen) << (32 - plen) if plen else 0, plen, value and [x and f"{x}{seq}" for x in value]))
+        log = spark.createDataFrame(rows, "seq long, start long, plen int, value array<string>")
+        lists = {r["start"]: r["value"] for r in resolved_segments(log, 4, nested_fold(nested.Appended("array<string>"))).collect()}
+        found = resolved_segments(log, 4, nested_fold(nested.AppendedText("; "))).collect()
+        assert {r["start"] for r in found} == set(lists) >= {r[1] for r in rows}
+        for r in found:
+            covers = sorted(x[:1] + x[3:] for x in rows if x[2] == 0 or x[1] >> (32 - x[2]) == r["start"] >> (32 - x[2]))
+            want = [x for _, value in covers if value is not None for x in value] if any(value is not None for _, value in covers) else None
+            assert lists[r["start"]] == want and r["value"] == (None if want is None else "; ".join(x for x in want if x is not None))
+            assert r["kind"] == ("N" if want is None else "D")
