@@ -4,12 +4,14 @@ import ipaddress
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netweave.database import Database
 from netweave.errors import LoadError, RejectedInserts
-from netweave.functions.address import V4, address_key, cover_range, format_network, network_text, parse_network, space_for, split128
-from netweave.functions.values import I32, U16, U32, canonical, decode, encode_column
+from netweave.functions.address import V4, address_key, cidr, cover_range, format_network, network_text, parse_network, space_for, split128
+from netweave.functions.values import I32, U16, U32, canonical, converter, decode, encode_column
 from netweave.operators import log as logs
 from netweave.operators import overlay
 from netweave.operators.overlay import flatten, last_write, merge_fold, ordered_fold
@@ -314,6 +316,36 @@ def test_typed_values(spark):
             encoded(column)
 
 
+def test_structs_and_arrays_are_encoded_by_built_in_functions(spark):
+    field = lambda name, kind, tag=None: T.StructField(name, kind, metadata={"mmdb": tag} if tag else {})
+    inner = T.StructType([field("z", T.LongType(), "uint32"), field("é", T.BooleanType())])
+    kind = T.StructType([field("tags", T.ArrayType(T.StringType())), field("in", inner), field("a", T.LongType(), "uint16"), field("many", T.ArrayType(inner))])
+    values = [None, (["x", None, ""], (7, True), 300, [(1, None), None, (None, False)]), ([], (None, None), None, []), (None, None, 0, None), ([str(n) for n in range(28)], None, 1, None), ([str(n) for n in range(29)], None, 1, None), (["y"] * 300, None, 65_535, [(n, None) for n in range(70_000)])]
+    out = encode_column(spark.createDataFrame([(n, v) for n, v in enumerate(values)], T.StructType([field("n", T.LongType()), field("v", kind)])), "v", "x")
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    make = converter(kind)
+    names = lambda v, s: None if v is None else Row(*s.names)(*v)
+    for r in out.select("n", "x").collect():
+        v = values[r["n"]]
+        if v is None:
+            assert r["x"] is None
+            continue
+        row = Row(*kind.names)(v[0], names(v[1], inner), v[2], None if v[3] is None else [names(x, inner) for x in v[3]])
+        assert bytes(r["x"]) == canonical(make(row))
+
+
+def test_networks_are_read_as_by_ipaddress():
+    plain = [f"{a}.2.3.4/{n}" for a in (0, 1, 255) for n in range(33)]
+    for text in [*plain, "1.2.3.4", "1.2.3.4/", "1.2.3.4/08", "01.2.3.4/8", "1.2.3/8", "1.2.3.4/33", "1.2.3.4/255.0.0.0", "1.2.3.4/0.0.0.255", "::/0", "2a00::1/16", " 1.2.3.4/8", "1.2.3.4 /8", "1.2.3.4\0/8", "", "/8", "1.2.3.4/8/8", None, "1.2.3.4/-1", "\u0661.2.3.4/8", "\ud800/8"]:
+        try:
+            net = ipaddress.ip_network(text, strict=False)
+        except (ValueError, TypeError):
+            with pytest.raises((ValueError, TypeError)):
+                cidr(text)
+        else:
+            assert cidr(text) == (net.version, int(net.network_address), net.prefixlen)
+
+
 def test_null_values_are_rejected(spark):
     rows = spark.createDataFrame([(0, "10.0.0.0/8", "x", "replace"), (1, "10.1.0.0/16", None, "clear"), (2, "10.2.0.0/16", None, "replace")], "seq long, network string, value string, op string")
     with pytest.raises(RejectedInserts, match="UnsupportedValue"):
